@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding.
 
 The distinct words of each block of documents (words: the matches of the vocabulary's split pattern) are encoded by Spark
-higher-order functions. A word is an array of byte pieces, written in hexadecimal; a fold joins the adjacent pair of the lowest
-rank, the leftmost of equals, until no pair has a rank. The ranks are a literal: an array of small maps, dealt by crc32, so that
-a lookup searches a few keys only. Decoding replaces ids by the pieces of a literal array and concatenates them.
+higher-order functions. A word is an array of bytes; a fold joins the adjacent pair of the lowest rank, the leftmost of equals,
+until no pair has a rank. The ranks are a literal: an array of small maps, dealt by the pair, so that a lookup searches a few keys
+only. Decoding replaces ids by the binary pieces of a literal array and concatenates them. A word that is a token as a whole is
+that token, as the library has it, and needs no fold.
 
 A block is a row of at most ``BLOCK_CHARS`` characters (one document at least): its documents, and its distinct words. All three
 steps are narrow, so nothing is shuffled, and a lost task repeats its own blocks only.
@@ -15,18 +16,18 @@ encoded whole; repeated rows get a row each; extra columns are ignored.
 from __future__ import annotations
 
 import base64
-import hashlib
 import json
 import zlib
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
 from .tokens import as_bytes, pieces_of
 
-BLOCK_CHARS = 16_000_000
-MAPS = 8192
+BLOCK_CHARS = 4_000_000
+MAPS = 16381
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -35,128 +36,142 @@ def ranks_of(path: str) -> dict[bytes, int]:
 
 
 def rank_literal(ranks: dict[bytes, int], maps: int = MAPS) -> Column:
-    """An array of maps from hexadecimal pieces to ranks; a piece is in the map of its crc32."""
-    dealt: list[dict[str, int]] = [{} for _ in range(maps)]
-    for piece, rank in ranks.items():
-        key = piece.hex()
-        dealt[zlib.crc32(key.encode()) % maps][key] = rank
-    return F.from_json(F.lit(json.dumps(dealt)), "array<map<string,int>>")
+    """The ranks of all pairs of tokens that make a token, as a literal: the map ``pair % maps`` holds a pair's rank.
+
+    A pair is left << 32 | right; a map is an array of pairs beside one of ranks. A token's id is its rank."""
+    dealt: list[tuple[list[int], list[int]]] = [([], []) for _ in range(maps)]
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            left, right = ranks.get(token[:i]), ranks.get(token[i:])
+            if left is not None and right is not None:
+                pair = left << 32 | right
+                dealt[pair % maps][0].append(pair)
+                dealt[pair % maps][1].append(rank)
+    return F.from_json(F.lit(json.dumps([{"k": k, "v": v} for k, v in dealt])), "array<struct<k:array<bigint>,v:array<int>>>")
+
 
+def byte_literal(ranks: dict[bytes, int]) -> Column:
+    """The ids of the 256 bytes as a literal array."""
+    return F.from_json(F.lit(json.dumps([ranks[bytes([i])] for i in range(256)])), "array<int>")
 
-def _fold(word: Column, ranks: Column, maps: int) -> Column:
-    """The pieces, in hexadecimal, of a word in hexadecimal."""
 
-    def rank(piece: Column) -> Column:
-        return F.try_element_at(F.element_at(ranks, (F.crc32(piece.cast("binary")) % maps).cast("int") + 1), piece)
+def _let(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), F.lit(1))
 
-    def let(value: Column, body) -> Column:
-        return F.element_at(F.transform(F.array(value), body), F.lit(1))
 
-    def join(parts: Column) -> Column:
-        pairs = F.zip_with(F.slice(parts, F.lit(1), F.size(parts) - 1), F.slice(parts, F.lit(2), F.size(parts) - 1), lambda a, b: rank(F.concat(a, b)))
+def encode_word(word: Column, ranks: Column, letters: Column, maps: int = MAPS) -> Column:
+    """The ids of a word, an array of bytes (0 to 255): as long as a pair of neighbours has a rank, the leftmost pair of the
+    lowest rank becomes one token."""
 
-        def joined(found: Column) -> Column:
-            at = F.array_position(found, F.array_min(found)).cast("int")
-            return F.when(
-                F.array_min(found).isNotNull(),
-                F.concat(F.slice(parts, F.lit(1), at - 1), F.array(F.concat(F.element_at(parts, at), F.element_at(parts, at + 1))), F.slice(parts, at + 2, F.size(parts))),
-            ).otherwise(F.concat(parts, F.array(F.lit(None).cast("string"))))  # a null ends the fold
+    def rank(left: Column, right: Column) -> Column:
+        pair = F.shiftleft(left.cast("long"), 32) + right
+        return _let(pair, lambda k: _let(F.get(ranks, (k % maps).cast("int")), lambda m: F.get(m["v"], (F.array_position(m["k"], k) - 1).cast("int"))))
 
-        return let(pairs, joined)
+    def merged(ids: Column, found: Column) -> Column:
+        def at_least(least: Column) -> Column:
+            put = _let(F.array_position(found, least).cast("int"), lambda at: F.concat(F.slice(ids, F.lit(1), at - 1), F.array(least), F.slice(ids, at + 2, F.size(ids))))
+            return F.when(least.isNull(), F.concat(ids, F.array(F.lit(None).cast("int")))).otherwise(put)  # a null at the end: no more merges
 
-    n = (F.length(word) / 2).cast("int")
-    letters = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(word, i * 2 + 1, F.lit(2)))
-    folded = F.aggregate(
-        F.sequence(F.lit(1), n), letters, lambda parts, _: F.when((F.size(parts) < 2) | F.element_at(parts, -1).isNull(), parts).otherwise(join(parts)), lambda parts: F.filter(parts, lambda p: p.isNotNull())
-    )
-    return F.when(rank(word).isNotNull(), F.array(word)).otherwise(folded)
+        return _let(F.array_min(found), at_least)
 
+    def step(ids: Column) -> Column:
+        pairs = F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), lambda a, b: F.when(b.isNotNull(), rank(a, b)))
+        return F.when((F.size(ids) < 2) | F.element_at(ids, -1).isNull(), ids).otherwise(_let(pairs, lambda found: merged(ids, found)))
 
-def encode_words(words: Column, ranks: Column, maps: int = MAPS) -> Column:
-    """The ids of each word of an array of words in hexadecimal."""
+    single = F.transform(word, lambda b: F.get(letters, b))
+    return F.aggregate(F.sequence(F.lit(1), F.size(word)), single, lambda ids, _: step(ids), lambda ids: F.filter(ids, lambda i: i.isNotNull()))
 
-    def rank(piece: Column) -> Column:
-        return F.try_element_at(F.element_at(ranks, (F.crc32(piece.cast("binary")) % maps).cast("int") + 1), piece)
 
-    return F.transform(words, lambda w: F.transform(_fold(w, ranks, maps), rank))
+def piece_literal(ranks: dict[bytes, int]) -> Column:
+    """The pieces of the ids, in hexadecimal, as a literal array."""
+    table = [""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        table[rank] = piece.hex()
+    return F.from_json(F.lit(json.dumps(table)), "array<string>")
 
 
-def decode_words(ids: Column, pieces: Column) -> Column:
-    """The words, in hexadecimal, of arrays of ids; pieces: a literal array of the ids' pieces."""
-    return F.transform(ids, lambda w: F.array_join(F.transform(w, lambda i: F.element_at(pieces, i + 1)), ""))
+def decode_word(ids: Column, pieces: Column) -> Column:
+    """The bytes of an array of ids."""
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
 
 
-def _blocks(pattern: str, limit: int):
+def _blocks(pattern: str, limit: int, vocabulary):
     def run(batches):
         import pyarrow as pa
         import regex
 
-        find = regex.compile(pattern).findall
+        import zstandard
+
+        find, squeeze = regex.compile(pattern).findall, zstandard.ZstdCompressor(level=1).compress
+        known = vocabulary.value.keys()
         for batch in batches:
             for part in slices(batch, "text", limit):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 pieces = {p for t in texts for p in pieces_of(t)}
-                words = {w for p in pieces for w in find(p)}
+                words = sorted({w for p in pieces for w in find(p)} - known)
                 yield pa.record_batch({
                     "doc_id": pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                    "text": pa.array([texts], pa.list_(pa.string())),
-                    "words": pa.array([[w.encode().hex() for w in sorted(words)]], pa.list_(pa.string())),
+                    "ends": pa.array([np.cumsum([len(t.encode()) for t in texts])], pa.list_(pa.int64())),
+                    "text": pa.array([squeeze("".join(texts).encode())], pa.binary()),
+                    "words": pa.array([[list(w.encode()) for w in words]], pa.list_(pa.list_(pa.int32()))),
                 })
 
     return run
 
 
-def _assembled(pattern: str):
+def _assembled(pattern: str, vocabulary):
     def run(batches):
         import pyarrow as pa
         import regex
+        import zstandard
 
-        find = regex.compile(pattern).findall
+        find, expand, known = regex.compile(pattern).findall, zstandard.ZstdDecompressor().decompress, vocabulary.value
+        whole = {w: (as_bytes([i]), w.encode()) for w, i in known.items()}
         for batch in batches:
             for r in range(batch.num_rows):
-                words = [bytes.fromhex(x).decode() for x in batch.column("words")[r].as_py()]
-                lists = batch.column("ids")[r].values
-                ends = lists.offsets.to_pylist()
-                flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-                ids = {w: flat[4 * a : 4 * b] for w, a, b in zip(words, ends, ends[1:], strict=False)}
-                back = dict(zip(words, map(bytes.fromhex, batch.column("decoded")[r].as_py()), strict=True))
-                known: dict[str, tuple[bytes, bytes]] = {}
-                out = []
-                for text in batch.column("text")[r].as_py():
-                    pieces = pieces_of(text)
-                    for p in pieces:
-                        if p not in known:
-                            found = find(p)
-                            known[p] = b"".join([ids[w] for w in found]), b"".join([back[w] for w in found])
-                    out.append((b"".join([known[p][0] for p in pieces]), b"".join([known[p][1] for p in pieces])))
+                spelt, lists = batch.column("words")[r].values, batch.column("ids")[r].values
+                ends, flat = lists.offsets.to_pylist(), lists.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+                cuts, letters = spelt.offsets.to_pylist(), spelt.values.to_numpy(zero_copy_only=False).astype("u1").tobytes()
+                pieces = batch.column("decoded")[r].as_py()
+                words = [letters[a:b].decode() for a, b in zip(cuts, cuts[1:], strict=False)]
+                made = {w: (flat[4 * a : 4 * b], d) for w, a, b, d in zip(words, ends, ends[1:], pieces, strict=False)}
+                cache: dict[str, tuple[bytes, bytes]] = {}
+                out, data, start = [], expand(batch.column("text")[r].as_py()), 0
+                for end in batch.column("ends")[r].as_py():
+                    parts, start = pieces_of(data[start:end].decode()), end
+                    for p in parts:
+                        if p not in cache:
+                            found = [made.get(w) or whole[w] for w in find(p)]
+                            cache[p] = b"".join([x for x, _ in found]), b"".join([x for _, x in found])
+                    out.append((b"".join([cache[p][0] for p in parts]), b"".join([cache[p][1] for p in parts])))
                 yield pa.record_batch({"doc_id": batch.column("doc_id")[r].values, "ids": pa.array([a for a, _ in out], pa.binary()), "decoded": pa.array([b for _, b in out], pa.binary())})
 
     return run
 
 
+def _whole_words(ranks: dict[bytes, int]) -> dict[str, int]:
+    """The tokens that are text."""
+    found = {}
+    for token, rank in ranks.items():
+        try:
+            found[token.decode()] = rank
+        except UnicodeDecodeError:
+            continue
+    return found
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit) and decoded (the bytes that the ids stand for) for each row."""
     ranks = ranks_of(path)
-    table = [b""] * (max(ranks.values()) + 1)
-    for piece, rank in ranks.items():
-        table[rank] = piece
-    literal, pieces = rank_literal(ranks), F.from_json(F.lit(json.dumps([p.hex() for p in table])), "array<string>")
+    literal, letters, pieces = rank_literal(ranks), byte_literal(ranks), piece_literal(ranks)
+    vocabulary = docs.sparkSession.sparkContext.broadcast(_whole_words(ranks))  # as large as the vocabulary
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = rows.mapInArrow(_blocks(pattern, BLOCK_CHARS), "doc_id array<long>, text array<string>, words array<string>")
-    encoded = blocks.withColumn("ids", encode_words(F.col("words"), literal))
-    decoded = encoded.withColumn("decoded", decode_words(F.col("ids"), pieces))
-    return decoded.mapInArrow(_assembled(pattern), "doc_id long, ids binary, decoded binary")
+    blocks = rows.mapInArrow(_blocks(pattern, BLOCK_CHARS, vocabulary), "doc_id array<long>, ends array<long>, text binary, words array<array<int>>")
+    encoded = blocks.withColumn("ids", F.transform("words", lambda w: encode_word(w, literal, letters)))
+    decoded = encoded.withColumn("decoded", F.transform("ids", lambda w: decode_word(w, pieces)))
+    return decoded.mapInArrow(_assembled(pattern, vocabulary), "doc_id long, ids binary, decoded binary")
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``: the concatenated pieces of an array<int> column of ids."""
-    table = sorted(ranks_of(path).items(), key=lambda x: x[1])
-    pieces = F.from_json(F.lit(json.dumps([p.hex() for p, _ in table])), "array<string>")
-    return encoded.withColumn("decoded", F.unhex(F.element_at(decode_words(F.array(F.col(ids_col)), pieces), F.lit(1))))
-
-
-def digest(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
-__all__ = ["as_bytes", "decode", "decode_words", "digest", "encode", "encode_words", "rank_literal", "ranks_of"]
+    return encoded.withColumn("decoded", decode_word(F.col(ids_col), piece_literal(ranks_of(path))))
