@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, packing, token_counts, toxicity
+from . import bpe, exact_dedup, language_id, line_quality, packing, pii, token_counts, toxicity
 from .common import documents
 
 
@@ -25,6 +25,17 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.line_quality(documents(spark, sf_dir)).drop("clean_text")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = pii.annotate(documents(spark, sf_dir).select("doc_id", "text")).withColumn("base", F.col("pii.base_spans"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+    every = F.array_sort(F.concat(F.col("base"), F.col("pii.term_spans")))
+    return marked.select("doc_id", *[count(k) for k in range(4)], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(every).alias("spans"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
