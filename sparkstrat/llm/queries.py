@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, line_quality, packing, pii, token_counts, toxicity
+from . import bpe, exact_dedup, language_id, line_quality, near_dedup, packing, pii, token_counts, toxicity
 from .common import documents
 
 
@@ -29,6 +29,10 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_quality(documents(spark, sf_dir)).drop("clean_text")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(documents(spark, sf_dir)).drop("row", "class_id")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = pii.annotate(documents(spark, sf_dir).select("doc_id", "text")).withColumn("base", F.col("pii.base_spans"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
