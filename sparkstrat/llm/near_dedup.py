@@ -8,8 +8,11 @@ for the smallest sets), so all 48 bands miss it with one of less than 1e-5.
 Links are confirmed on full sets, and no bucket is ever expanded into all its pairs:
 1. each bucket's first class is compared with the others of the bucket (a star);
 2. components are formed; a bucket whose classes are all in one component is done;
-3. in each other bucket, classes outside the component of its first one are compared with the classes of other components, at
-   most ``LEADERS`` of them in a round, until no class is left that could add a link. Buckets without near duplicates are small.
+3. in each other bucket, the classes outside the component of its first one are compared with two classes of that component,
+   in ``PIVOTS`` rounds with others each time; a large group of near copies is one component after that;
+4. classes that are still outside are compared with all classes of other components in their bucket, ``LEADERS`` of them in a
+   first round, eight times as many in each next one, until none is left that could add a link.
+Pairs that sizes rule out, and pairs that were compared in another bucket, are not compared.
 
 Cases: ASCII letters are lower-cased, words are separated by space and tab to carriage return. A text of fewer than five words
 is one shingle; without words (or null) its set is empty and it is linked with nothing. Equal sets of any number, and groups of
@@ -29,6 +32,7 @@ from .components import components
 WORDS = 5
 PERCENT = 75
 BANDS = 48
+PIVOTS = 3
 LEADERS = 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ROWS = "row long, doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>, packed binary"
@@ -131,10 +135,13 @@ def _confirmed(percent: int):
     return run
 
 
-def _tested(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``; the text of a class travels to its pairs."""
+def _tested(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b) with ``linked``, without those whose sizes rule a link out; the text of a class travels to its pairs."""
+    for side in ("a", "b"):
+        pairs = spread_join(pairs, sizes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}")), [side])
+    pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
     half = spread_join(pairs, texts.select(F.col("node").alias("b"), F.col("packed").alias("right")), ["b"])
-    whole = spread_join(half, texts.select(F.col("node").alias("a"), F.col("packed").alias("left"), "n_shingles"), ["a"])
+    whole = spread_join(half, texts.select(F.col("node").alias("a"), F.col("packed").alias("left")), ["a"])
     return whole.select("a", "b", "left", "right").mapInArrow(_confirmed(percent), "a long, b long, linked boolean")
 
 
@@ -151,25 +158,38 @@ def links(rows: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFr
     lead = buckets.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
     members = written(spread_join(buckets, lead, ["key"]))
     texts = written(rows.select(F.col("row").alias("node"), "packed", "n_shingles").join(members.select("node").distinct(), "node", "left_semi"))
+    sizes = texts.select("node", "n_shingles")
     fresh = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    tested = written(_tested(fresh, texts, percent))
-    used = members.select("key", F.col("lead").alias("node")).distinct()
+    tested = written(_tested(fresh, texts, sizes, percent))
+    found, fresh = None, tested
+    used, members, turn = members.select("key", F.col("lead").alias("node")).distinct(), members.select("key", "node"), 0
     while True:
-        found = components(tested.where("linked").select("a", "b"))
-        at = spread_join(members, found, ["node"], "left").select("key", "lead", "node", F.coalesce("component", "node").alias("component"))
+        new = fresh.where("linked").select("a", "b")
+        found = components(new if found is None else new.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        at = spread_join(members, found, ["node"], "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "node").alias("main")).where("low <> high").select("key", "main")
         members = written(spread_join(at, mixed, ["key"]))
-        spare = spread_join(members.where("component <> main"), used.withColumn("seen", F.lit(1)), ["key", "node"], "left").where("seen is null")
-        leaders = written(spare.select("key", "node", F.row_number().over(_by_node()).alias("k")).where(F.col("k") <= LEADERS).select("key", "node"))
-        if leaders.isEmpty():
+        if members.isEmpty():
             return found
-        chosen = spread_join(leaders, members.select("key", "node", F.col("component").alias("own")), ["key", "node"])
-        pairs = spread_join(members.select("key", F.col("node").alias("other"), "component"), chosen.select("key", "node", "own"), ["key"]).where("component <> own")
+        out, turn = members.where("component <> main"), turn + 1
+        if turn <= PIVOTS:
+            order = F.xxhash64(F.col("node"), F.lit(turn))
+            pivots = members.where("component = main").groupBy("key").agg(F.min_by("node", order).alias("low"), F.max_by("node", order).alias("high"))
+            both = spread_join(out.select("key", "node"), pivots, ["key"])
+            pairs = both.select("node", F.explode(F.array("low", "high")).alias("other"))
+        else:
+            spare = spread_join(out, used.withColumn("seen", F.lit(1)), ["key", "node"], "left").where("seen is null")
+            most = LEADERS * 8 ** (turn - PIVOTS - 1)
+            leaders = written(spare.select("key", "node", F.col("component").alias("own"), F.row_number().over(_by_node()).alias("k")).where(F.col("k") <= most).drop("k"))
+            if leaders.isEmpty():
+                return found
+            used = used.unionByName(leaders.select("key", "node"))
+            pairs = spread_join(members.select("key", F.col("node").alias("other"), "component"), leaders, ["key"]).where("component <> own").select("node", "other")
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        fresh = spread_join(pairs, tested.select("a", "b", F.lit(1).alias("seen")), ["a", "b"], "left").where("seen is null").select("a", "b")
-        tested = written(tested.unionByName(_tested(fresh, texts, percent)))
-        used = written(used.unionByName(leaders))
-        members = members.select("key", "lead", "node")
+        untested = spread_join(pairs, tested.select("a", "b", F.lit(1).alias("seen")), ["a", "b"], "left").where("seen is null").select("a", "b")
+        fresh = written(_tested(untested, texts, sizes, percent))
+        tested = tested.unionByName(fresh)
+        members = members.select("key", "node")
 
 
 def _by_node():

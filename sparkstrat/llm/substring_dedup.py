@@ -68,7 +68,9 @@ class Ranks:
         return _mix((self.sums[start + size] - self.sums[start]) * self.down[start] + np.uint64(1) * np.asarray(size, np.uint64))
 
     def grams(self, size: int) -> np.ndarray:
-        return _mix((self.sums[size:] - self.sums[:-size]) * self.down[: len(self.sums) - size] + np.uint64(size))
+        out = self.sums[size:] - self.sums[:-size]
+        out *= self.down[: len(out)]
+        return out
 
 
 def window_anchors(grams: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
@@ -79,6 +81,16 @@ def window_anchors(grams: np.ndarray, length: int = LENGTH, gram: int = GRAM) ->
     return np.minimum(least[: len(grams) - n + 1], least[n - width :]) if n > width else least
 
 
+def leftmost(grams: np.ndarray, start: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The first place of each value in the window that starts at ``start``."""
+    out = np.empty(len(start), np.int64)
+    reach = np.arange(LENGTH - GRAM + 1)
+    for i in range(0, len(start), 8192):
+        at = start[i : i + 8192]
+        out[i : i + 8192] = at + (grams[at[:, None] + reach] == value[i : i + 8192, None]).argmax(1)
+    return out
+
+
 def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first window, last window, anchor, name of all bytes) of the segments of a part; needs LENGTH bytes at least.
 
@@ -88,20 +100,21 @@ def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     low = window_anchors(grams)
     start = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
     last = np.concatenate([start[1:] - 1, [len(low) - 1]])
-    values, which = np.unique(low[start], return_inverse=True)
-    at = np.minimum(np.searchsorted(values, grams), len(values) - 1)
-    place = np.flatnonzero(values[at] == grams)
-    keys = np.sort(at[place] * np.int64(len(grams) + 1) + place)
-    anchor = keys[np.searchsorted(keys, which * np.int64(len(grams) + 1) + start)] - which * np.int64(len(grams) + 1)
-    if (anchor < last).any():
-        runs = []
-        for s, e, c, w in zip(start.tolist(), last.tolist(), anchor.tolist(), which.tolist(), strict=True):
+    anchor = leftmost(grams, start, low[start])
+    late = np.flatnonzero(anchor < last)
+    if len(late):
+        runs = [np.stack([np.delete(start, late), np.delete(last, late)])]
+        for s, e, c in zip(start[late].tolist(), last[late].tolist(), anchor[late].tolist(), strict=True):
+            split, value = [], low[s]
             while s <= e:
                 if c < s:
-                    c = int(keys[np.searchsorted(keys, w * (len(grams) + 1) + s)] - w * (len(grams) + 1))
-                runs.append((s, min(c, e)))
+                    c = s + int(np.argmax(grams[s : s + LENGTH - GRAM + 1] == value))
+                split.append((s, min(c, e)))
                 s = c + 1
-        start, last = np.array(runs, np.int64).T
+            runs.append(np.array(split, np.int64).T)
+        start, last = np.concatenate(runs, axis=1)
+        order = np.argsort(start)
+        start, last = start[order], last[order]
     return start, last, low[start], Ranks(data, 1).names(start, last - start + LENGTH)
 
 
@@ -158,34 +171,18 @@ def _cores(batches):
     for batch in batches:
         out, held = [], 0
         for r in range(batch.num_rows):
-            doubt = batch.column("doubt")[r].as_py()
-            text, doc, body = expand(batch.column("packed")[r].as_py()), batch.column("doc")[r].as_py(), batch.column("body")[r].as_py()
-            doubt.sort(key=lambda x: x["start"])
-            k = 0
-            while k < len(doubt):
-                at = doubt[k]["start"]
-                stop = k
-                while stop < len(doubt) and doubt[stop]["last"] < at + PART:
-                    stop += 1
-                stop = max(stop, k + 1)
-                part = text[at : doubt[stop - 1]["last"] + LENGTH]
-                one, two = Ranks(part, 0), Ranks(part, 1)
-                grams = one.grams(GRAM)
-                for x in doubt[k:stop]:
-                    windows = np.arange(x["start"] - at, x["last"] - at + 1)
-                    value = np.uint64(x["gram"] % (1 << 64))
-                    places = windows[0] + np.flatnonzero(grams[windows[0] : windows[-1] + LENGTH - GRAM + 1] == value)
-                    anchor = places[np.searchsorted(places, windows)]
-                    share = anchor - (anchor - windows) // QUARTER * QUARTER  # where the quarter's shared part starts
-                    cut = np.flatnonzero(np.diff(share)) + 1
-                    first = share[np.concatenate([[0], cut])]
-                    size = np.full(len(first), _CORE)
-                    names = two.names(windows, np.full(len(windows), LENGTH)).view(np.int64)
-                    c1, c2 = one.names(first, size).view(np.int64), two.names(first, size).view(np.int64)
-                    for a, b, w, m in zip(c1.tolist(), c2.tolist(), np.split(windows + at, cut), np.split(names, cut), strict=True):
-                        out.append((doc, body, x["gram"], a, b, w.astype("<i4").tobytes(), m.astype("<i8").tobytes()))
+            doubt, doc, body = batch.column("doubt")[r].values, batch.column("doc")[r].as_py(), batch.column("body")[r].as_py()
+            text = expand(batch.column("packed")[r].as_py())
+            start, last, gram = (doubt.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "last", "gram"))
+            order = np.argsort(start)
+            start, last, gram = start[order], last[order], gram[order]
+            k, seen = 0, []
+            while k < len(start):
+                at = int(start[k])
+                stop = max(k + 1, int(np.searchsorted(last, at + PART)))
+                out += _doubtful(doc, body, text[at : int(last[stop - 1]) + LENGTH], at, start[k:stop], last[k:stop], gram[k:stop], seen)
                 k = stop
-            held += len(doubt)
+            held += len(start)
             if held > 20_000:
                 yield _rows(out)
                 out, held = [], 0
@@ -193,6 +190,33 @@ def _cores(batches):
             yield _rows(out)
 
 
+def _doubtful(doc: int, body: int, part: bytes, at: int, start: np.ndarray, last: np.ndarray, gram: np.ndarray, seen: list) -> list[tuple]:
+    """The rows of ``_cores`` for the segments of a part that begins at ``at``."""
+    one, two = Ranks(part, 0), Ranks(part, 1)
+    n = last - start + 1
+    anchor = leftmost(one.grams(GRAM), start - at, gram.view(np.uint64))
+    window = np.repeat(start - at - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    names = two.names(window, np.full(len(window), LENGTH)).view(np.int64)
+    fresh = np.zeros(len(window), bool)
+    fresh[np.unique(names, return_index=True)[1]] = True
+    for old in seen:
+        fresh &= ~np.isin(names, old)
+    seen.append(names[fresh])
+    rows = []
+    if not fresh.all():  # they came earlier in this row
+        rows.append((doc, body, 0, None, None, (window[~fresh] + at).astype("<i4").tobytes(), b""))
+    owner, window, names = np.repeat(np.arange(len(start)), n)[fresh], window[fresh], names[fresh]
+    share = anchor[owner] - (anchor[owner] - window) // QUARTER * QUARTER  # where the quarter's shared part starts
+    first = np.concatenate([[0], np.flatnonzero((np.diff(share) != 0) | (np.diff(owner) != 0)) + 1]) if len(window) else np.zeros(0, np.int64)
+    ends = np.concatenate([first[1:], [len(window)]])
+    size = np.full(len(first), _CORE)
+    c1, c2 = one.names(share[first], size).view(np.int64).tolist(), two.names(share[first], size).view(np.int64).tolist()
+    starts, names = (window + at).astype("<i4").tobytes(), names.astype("<i8").tobytes()
+    for g, a, b, i, j in zip(gram[owner[first]].tolist(), c1, c2, first.tolist(), ends.tolist(), strict=True):
+        rows.append((doc, body, g, a, b, starts[4 * i : 4 * j], names[8 * i : 8 * j]))
+    return rows
+
+
 def _rows(out):
     import pyarrow as pa
 
@@ -200,6 +224,17 @@ def _rows(out):
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc", "body", "gram", "core", "core2", "starts", "names"])
 
 
+def _single(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        starts = [np.frombuffer(x, "<i4") for x in batch.column("starts").to_pylist()]
+        n = np.array([len(x) for x in starts], np.int64)
+        if len(n):
+            start = pa.array(np.concatenate(starts), pa.int32())
+            yield pa.record_batch({"doc": pa.array(np.repeat(batch.column("doc").to_numpy(), n)), "body": pa.array(np.repeat(batch.column("body").to_numpy(), n)), "start": start, "last": start})
+
+
 def _unrolled(batches):
     """A row for each window of the parts that occur more than once."""
     import pyarrow as pa
@@ -263,17 +298,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = written(ends.where("low_doc <> high_doc or low_whole <> high_whole or twice = 1").select("gram", "low_doc", (F.col("low_whole") == F.col("high_whole")).alias("alike")))
     hits = written(spread_join(found, shared, ["gram"]))
     kinds = hits.where("not alike").groupBy("gram", "whole").agg(F.min("doc").alias("first"))
-    mixed = spread_join(hits.where("not alike"), kinds, ["gram", "whole"])
+    mixed = written(spread_join(hits.where("not alike"), kinds, ["gram", "whole"]).select("doc", "body", "start", "last", "gram", "again", "first"))
     later = [hits.where("alike and (doc > low_doc or again = 1)"), mixed.where("doc > first or again = 1")]
     doubt = mixed.where("doc = first and again = 0").groupBy("doc", "body").agg(F.collect_set(F.struct("start", "last", "gram")).alias("doubt"))  # as many as the document has segments
     texts = base.mapInArrow(_packed, "doc_id long, doc long, body long, packed binary")
     cores = written(texts.select("doc", "body", "packed").dropDuplicates(["doc", "body"]).join(doubt, ["doc", "body"]).mapInArrow(_cores, _CORES))
-    common = cores.groupBy("gram", "core", "core2").agg(F.count("*").alias("n")).where("n > 1").select("gram", "core", "core2")
-    windows = written(spread_join(cores, common, ["gram", "core", "core2"]).select("doc", "body", "core", "starts", "names").mapInArrow(_unrolled, "doc long, body long, core long, start int, name long"))
-    inside = windows.groupBy("core", "name", "doc", "body").agg(F.min("start").alias("first_start"))
-    earliest = inside.groupBy("core", "name").agg(F.min("doc").alias("first"))
-    seen = spread_join(spread_join(windows, earliest, ["core", "name"]), inside, ["core", "name", "doc", "body"])
-    later.append(seen.where("doc > first or start > first_start").withColumn("last", F.col("start")))
+    later.append(cores.where("core is null").select("doc", "body", "starts").mapInArrow(_single, "doc long, body long, start int, last int"))
+    common = cores.where("core is not null").groupBy("gram", "core", "core2").agg(F.count("*").alias("n")).where("n > 1").select("gram", "core", "core2")
+    windows = written(spread_join(cores.where("core is not null"), common, ["gram", "core", "core2"]).select("doc", "body", "core", "starts", "names").mapInArrow(_unrolled, "doc long, body long, core long, start int, name long"))
+    earliest = windows.groupBy("core", "name").agg(F.min("doc").alias("first"), F.max("doc").alias("final")).where("first <> final").select("core", "name", "first")
+    later.append(spread_join(windows, earliest, ["core", "name"]).where("doc > first").withColumn("last", F.col("start")))
     runs = later[0].select("doc", "body", "start", "last")
     for x in later[1:]:
         runs = runs.unionByName(x.select("doc", "body", "start", "last"))
