@@ -33,6 +33,7 @@ LENGTH = 100
 GRAM = 32
 QUARTER = 18
 PART = 1 << 20
+BITS = 1 << 27
 _CORE = LENGTH - QUARTER + 1
 _FIRST = -(1 << 63)
 _POWERS: list[tuple[np.ndarray, np.ndarray]] = []
@@ -91,15 +92,26 @@ def leftmost(grams: np.ndarray, start: np.ndarray, value: np.ndarray) -> np.ndar
     return out
 
 
-def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, anchor, name of all bytes) of the segments of a part; needs LENGTH bytes at least.
+def segments(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, last window, anchor, name of all bytes) of the segments of texts laid end to end; ends: where they end.
 
-    Where the same gram comes again within a window, as in periodic text, its leftmost place is the anchor."""
+    No window crosses an end. Where the same gram comes again within a window, as in periodic text, its leftmost place is the
+    anchor."""
+    if len(data) < LENGTH:
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
     ranks = Ranks(data, 0)
     grams = ranks.grams(GRAM)
     low = window_anchors(grams)
-    start = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
-    last = np.concatenate([start[1:] - 1, [len(low) - 1]])
+    inside = np.ones(len(low) + 1, bool)
+    for e in ends.tolist():
+        inside[max(0, e - LENGTH + 1) : e] = False
+    inside[-1] = False
+    change = np.concatenate([[True], low[1:] != low[:-1], [True]])
+    # A segment starts where the anchor changes or the windows of a text begin, and ends before the next start or the text's end.
+    edges = np.flatnonzero(change | np.concatenate([[False], inside[1:] != inside[:-1]]))
+    start, last = edges[:-1], edges[1:] - 1
+    valid = inside[start]
+    start, last = start[valid], last[valid]
     anchor = leftmost(grams, start, low[start])
     late = np.flatnonzero(anchor < last)
     if len(late):
@@ -124,35 +136,73 @@ def _parts(size: int):
         yield at, min(size, at + PART + LENGTH - 1)
 
 
-def _segmented(batches):
-    import pyarrow as pa
-
-    names = ["doc", "body", "start", "last", "gram", "whole", "again"]
-    for batch in batches:
-        out, held = [], 0
-        for doc, body, text in zip(batch.column("doc").to_pylist(), batch.column("body").to_pylist(), arrow_bytes(batch.column("text")), strict=True):
-            seen: list[np.ndarray] = []
-            for at, end in _parts(len(text)):
-                start, last, gram, whole = segments(text[at:end])
-                pair = _mix(gram) ^ whole
+def _pieces(batch):
+    """(texts of about PART bytes laid end to end, their rows, where each starts in its row); long texts come in parts."""
+    rows, starts, texts, held = [], [], [], 0
+    for i, text in enumerate(arrow_bytes(batch.column("text"))):
+        for at, end in _parts(len(text)):
+            rows.append(i)
+            starts.append(at)
+            texts.append(text[at:end])
+            held += end - at
+            if held >= PART:
+                yield texts, np.array(rows), np.array(starts)
+                rows, starts, texts, held = [], [], [], 0
+    if texts:
+        yield texts, np.array(rows), np.array(starts)
+
+
+def _segmented(wanted=None):
+    """wanted: a broadcast bitmap of hashed anchors; rows whose anchor it surely has not are left out."""
+
+    def run(batches):
+        names = ["doc", "body", "start", "last", "gram", "whole", "again"]
+        bits = None if wanted is None else np.frombuffer(wanted.value, np.uint8)
+        for batch in batches:
+            doc, body, seen, out, held = batch.column("doc").to_numpy(), batch.column("body").to_numpy(), {}, [], 0
+            for texts, rows, begins in _pieces(batch):
+                ends = np.cumsum([len(t) for t in texts])
+                start, last, gram, whole = segments(b"".join(texts), ends)
+                which = np.searchsorted(ends, start, "right")
+                shift, row = (ends - [len(t) for t in texts])[which] - begins[which], rows[which]
+                pair = _mix(_mix(gram) ^ whole) + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 again = np.ones(len(pair), np.int32)
                 again[np.unique(pair, return_index=True)[1]] = 0
-                for old in seen:
-                    again |= np.isin(pair, old)
-                if len(text) > PART:
-                    seen.append(np.unique(pair))
+                for r in np.unique(rows[begins > 0]).tolist():  # parts of one long text
+                    mine = row == r
+                    for old in seen.get(r, ()):
+                        again[mine] |= np.isin(pair[mine], old)
+                for r in set(rows.tolist()) if len(texts) == 1 else {int(rows[0]), int(rows[-1])}:
+                    seen.setdefault(r, []).append(np.unique(pair[row == r]))
                 # Neighbours that all came earlier in the row are one row of the table.
-                first = np.flatnonzero((again == 0) | (np.concatenate([[0], again[:-1]]) == 0))
-                last = last[np.concatenate([first[1:] - 1, [len(last) - 1]])]
-                start, gram, whole, again = start[first], gram[first], whole[first], again[first]
-                n = len(start)
-                out.append((np.full(n, doc), np.full(n, body), start + at, last + at, gram.view(np.int64), whole.view(np.int64), again))
-                held += n
-            if held > 200_000:
+                joined = (again == 1) & np.concatenate([[False], (again[:-1] == 1) & (which[1:] == which[:-1])])
+                first = np.flatnonzero(~joined)
+                final = last[np.concatenate([first[1:] - 1, [len(last) - 1]])] if len(last) else last
+                keep = first
+                if bits is not None:
+                    bit = (gram[first] & np.uint64(BITS - 1)).astype(np.int64)
+                    found = (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+                    keep, final = first[found], final[found]
+                out.append((doc[row[keep]], body[row[keep]], start[keep] - shift[keep], final - shift[keep], gram[keep].view(np.int64), whole[keep].view(np.int64), again[keep]))
+                held += len(keep)
+                if held > 200_000:
+                    yield _table(out, names)
+                    out, held = [], 0
+            if out:
                 yield _table(out, names)
-                out, held = [], 0
-        if out:
-            yield _table(out, names)
+
+    return run
+
+
+def _bitmap(shared: DataFrame) -> bytes:
+    """A bitmap of BITS bits (16 MB, whatever the data) of the low bits of anchors: it spares the shuffle of rows that have no
+    partner, fewer of them the larger the corpus, and changes no result."""
+    bit = F.col("gram").bitwiseAND(F.lit(BITS - 1)) + 1
+    maps = shared.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map")).collect()
+    out = bytearray(BITS // 8)
+    for r in maps:
+        out[(r.k - 1) * 4096 : r.k * 4096] = r.map
+    return bytes(out)
 
 
 def _table(out, names):
@@ -293,16 +343,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     base = base.select("doc_id", F.coalesce("doc_id", F.lit(_FIRST)).alias("doc"), F.xxhash64("text").alias("body"), "text")
-    found = base.select("doc", "body", "text").mapInArrow(_segmented, _SEGMENTS)
+    source = base.select("doc", "body", "text")
+    found = source.mapInArrow(_segmented(), _SEGMENTS)
     ends = found.groupBy("gram").agg(*[f(c).alias(f"{k}_{c}") for c in ("doc", "whole") for k, f in (("low", F.min), ("high", F.max))], F.max("again").alias("twice"))
     shared = written(ends.where("low_doc <> high_doc or low_whole <> high_whole or twice = 1").select("gram", "low_doc", (F.col("low_whole") == F.col("high_whole")).alias("alike")))
-    hits = written(spread_join(found, shared, ["gram"]))
+    # Both sides are dealt anew by the anchor, so a hot one can be split.
+    some = source.mapInArrow(_segmented(docs.sparkSession.sparkContext.broadcast(_bitmap(shared))), _SEGMENTS)
+    doubted = lambda c: F.when(~F.col("alike"), F.col(c)).alias(c)
+    hits = written(some.join(shared, "gram").where("not alike or doc > low_doc or again = 1").select("doc", "body", "start", "last", "again", "alike", doubted("gram"), doubted("whole")))
     kinds = hits.where("not alike").groupBy("gram", "whole").agg(F.min("doc").alias("first"))
     mixed = written(spread_join(hits.where("not alike"), kinds, ["gram", "whole"]).select("doc", "body", "start", "last", "gram", "again", "first"))
-    later = [hits.where("alike and (doc > low_doc or again = 1)"), mixed.where("doc > first or again = 1")]
-    doubt = mixed.where("doc = first and again = 0").groupBy("doc", "body").agg(F.collect_set(F.struct("start", "last", "gram")).alias("doubt"))  # as many as the document has segments
+    later = [hits.where("alike"), mixed.where("doc > first or again = 1")]
+    doubt = mixed.where("doc = first and again = 0").groupBy("doc", "body").agg(F.collect_list(F.struct("start", "last", "gram")).alias("doubt"))  # as many as the document has segments
     texts = base.mapInArrow(_packed, "doc_id long, doc long, body long, packed binary")
-    cores = written(texts.select("doc", "body", "packed").dropDuplicates(["doc", "body"]).join(doubt, ["doc", "body"]).mapInArrow(_cores, _CORES))
+    cores = written(texts.select("doc", "body", "packed").join(doubt, ["doc", "body"]).mapInArrow(_cores, _CORES))
     later.append(cores.where("core is null").select("doc", "body", "starts").mapInArrow(_single, "doc long, body long, start int, last int"))
     common = cores.where("core is not null").groupBy("gram", "core", "core2").agg(F.count("*").alias("n")).where("n > 1").select("gram", "core", "core2")
     windows = written(spread_join(cores.where("core is not null"), common, ["gram", "core", "core2"]).select("doc", "body", "core", "starts", "names").mapInArrow(_unrolled, "doc long, body long, core long, start int, name long"))
