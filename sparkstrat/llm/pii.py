@@ -130,15 +130,20 @@ def disclosing(found: DataFrame, windows: DataFrame) -> DataFrame:
     distinct = windows.dropDuplicates(["entity", "window"])
     n_e = distinct.groupBy("entity").agg(F.count("*").alias("n_e"))
     pairs = distinct.select("entity", F.explode(F.array_distinct(F.transform("terms", lambda t: F.lower(t["value"])))).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    pairs = written(pairs.where(F.col("n_te") >= SUPPORT))
+    # n_t is at least the number of documents with the term in a window: what that rules out needs no count over all texts.
+    near = windows.select("doc_id", "body", F.explode(F.array_distinct(F.transform("terms", lambda t: F.lower(t["value"])))).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    total = found.agg(F.count("*").alias("total"))
+    likely = pairs.where(F.col("n_te") >= SUPPORT).join(n_e, "entity").join(near, "term").crossJoin(F.broadcast(total))  # one row on that side
+    pairs = written(likely.where(_disclosure("n_near") >= GENERALISE).drop("n_near"))
     terms = pairs.select("term").distinct()
     wanted = F.broadcast(terms) if pairs.count() <= BROADCAST_TERMS else terms  # a row has 40 characters at most
     held = found.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     n_t = held.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = found.agg(F.count("*").alias("total"))
-    rated = pairs.join(n_t, "term").join(n_e, "entity").crossJoin(F.broadcast(total))  # one row on that side
-    rate = 1 + F.ln(F.least(F.lit(1.0), F.col("n_te") / F.col("n_t"))) / F.ln(F.greatest(F.lit(2.0), F.col("total") / F.col("n_e")))
-    return rated.select("entity", "term", rate.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    return pairs.join(n_t, "term").select("entity", "term", _disclosure("n_t").alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+
+
+def _disclosure(n: str) -> Column:
+    return 1 + F.ln(F.least(F.lit(1.0), F.col("n_te") / F.col(n))) / F.ln(F.greatest(F.lit(2.0), F.col("total") / F.col("n_e")))
 
 
 def term_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
