@@ -90,8 +90,8 @@ def winsorize(panel: DataFrame, lower: float = 0.01, upper: float = 0.99, missin
     rows = active(panel, missing_policy).withColumn("_k", F.row_number().over(at().orderBy("value", "symbol"))).withColumn("_n", F.count("*").over(at()))
 
     def bound(q: float) -> Column:
-        at = F.least(F.greatest(F.ceil(F.lit(q) * F.col("_n")), F.lit(1)), F.col("_n"))
-        return F.max(F.when(F.col("_k") == at, F.col("value"))).over(at())
+        place = F.least(F.greatest(F.ceil(F.lit(q) * F.col("_n")), F.lit(1)), F.col("_n"))
+        return F.max(F.when(F.col("_k") == place, F.col("value"))).over(at())
 
     bounded = rows.withColumn("_low", bound(lower)).withColumn("_high", bound(upper))
     return bounded.withColumn("value", F.least(F.greatest("value", "_low"), F.col("_high"))).drop("_k", "_n", "_low", "_high")
