@@ -408,7 +408,7 @@ def _all_panels() -> None:
     act = lambda e: f"sum({e}) FILTER (in_universe) OVER (PARTITION BY ts)"
     weighed(["weight_normalize_gross"], lambda s, d: weights.normalize_gross(weight(s, d), 2.0), f"f AS (SELECT ts, symbol, CASE WHEN in_universe THEN weight * 2 / {act('abs(weight)')} ELSE weight END AS weight FROM w)")
     weighed(["weight_cap_per_symbol", "weight_max_weight_clip"], lambda s, d: weights.cap_per_symbol(weight(s, d), 0.05), "f AS (SELECT ts, symbol, CASE WHEN in_universe THEN least(greatest(weight, -0.05), 0.05) ELSE weight END AS weight FROM w)")
-    neutral = f"c AS (SELECT ts, symbol, in_universe, CASE WHEN in_universe THEN weight - avg(weight) FILTER (in_universe) OVER (PARTITION BY ts) ELSE weight END AS weight FROM w), f AS (SELECT ts, symbol, CASE WHEN in_universe THEN weight / {act('abs(weight)')} ELSE weight END AS weight FROM c)"
+    neutral = f"c AS (SELECT ts, symbol, in_universe, CASE WHEN in_universe THEN weight - avg(weight) FILTER (in_universe) OVER (PARTITION BY ts) ELSE weight END AS weight FROM w), f AS (SELECT ts, symbol, CASE WHEN NOT in_universe THEN weight WHEN {act('abs(weight)')} = 0 THEN 0 ELSE weight / {act('abs(weight)')} END AS weight FROM c)"
     weighed(["weight_market_neutral", "weight_market_neutral_weight"], lambda s, d: weights.market_neutral(weight(s, d)), neutral)
     weighed(["weight_normalize_net"], lambda s, d: weights.normalize_net(weight(s, d), 0.5), f"f AS (SELECT ts, symbol, CASE WHEN in_universe THEN weight + (0.5 - {act('weight')}) / count(*) FILTER (in_universe) OVER (PARTITION BY ts) ELSE weight END AS weight FROM w)")
     weighed(["weight_group_neutral_weight"], lambda s, d: weights.group_neutral_weight(weight(s, d), nation_groups(s, d)), "f AS (SELECT ts, symbol, CASE WHEN in_universe THEN weight - avg(weight) FILTER (in_universe) OVER (PARTITION BY ts, grp) ELSE 0 END AS weight FROM w)")
