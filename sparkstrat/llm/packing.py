@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, written
-from .tokens import as_bytes, encoder
+from .tokens import as_bytes, flat_encoder
 
 WINDOW = 1024
 PACKET = 256
@@ -38,7 +38,7 @@ def _laid(path: str, end: int, size: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        context, enc, number = TaskContext.get(), encoder(path, as_bytes), 0
+        context, enc, number = TaskContext.get(), flat_encoder(path), 0
         first = (context.partitionId() if context else 0) << 24
         rows, ids, held = [], [], 0
 
@@ -55,9 +55,9 @@ def _laid(path: str, end: int, size: int):
 
         for batch in batches:
             for part in slices(batch, "text", 4_000_000):
-                values = enc.encode([t or "" for t in part.column("text").to_pylist()], {})
+                values = enc.flat([t or "" for t in part.column("text").to_pylist()])
                 for doc_id, source, value in zip(part.column("doc_id").to_pylist(), part.column("source").to_pylist(), values, strict=True):
-                    data = b"".join(value) + as_bytes([end])
+                    data = value + as_bytes([end])
                     total, start = len(data) // 4, 0
                     while start < total:
                         n = min(total - start, size - held)

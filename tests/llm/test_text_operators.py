@@ -199,3 +199,18 @@ def test_pipeline(spark, docs, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path))
     kept = {r.doc_id for r in pieces.select("doc_id").distinct().collect()}
     assert not kept & {0, 1, 2, 4, 5, 9, 13} and {3, 8, 10, 11, 17} <= kept
+
+
+def test_flat_encoding_equals_the_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    from sparkstrat.llm import tokens
+
+    rng, letters = random.Random(3), "abcdeinorst'lmv ,.\n\t\r0129é ß«²\xa0\x85ªÀ-#$"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(3000)]
+    texts += ["", "x<|endoftext|>y", "日本 語 text", " " * 120_000 + "a", "a" * 3000, "it's 10% off\n\n\n  now"]
+    found = tokens.flat_encoder(JSON)
+    assert found.ranked is not None
+    assert found.flat(texts) == [tokens.as_bytes(e.ids) for e in Tokenizer.from_file(JSON).encode_batch(texts, add_special_tokens=False)]
