@@ -8,11 +8,12 @@ for the smallest sets), so all 48 bands miss it with one of less than 1e-5.
 Links are confirmed on full sets, and no bucket is ever expanded into all its pairs:
 1. each bucket's first class is compared with the others of the bucket (a star);
 2. components are formed; a bucket whose classes are all in one component is done;
-3. in each other bucket, the classes outside the component of its first one are compared with two classes of that component,
-   in ``PIVOTS`` rounds with others each time; a large group of near copies is one component after that;
-4. classes that are still outside are compared with all classes of other components in their bucket, ``LEADERS`` of them in a
-   first round, eight times as many in each next one, until none is left that could add a link.
-Pairs that sizes rule out, and pairs that were compared in another bucket, are not compared.
+3. in each other bucket, the classes outside the component of its first one are compared with two classes of that component;
+4. for the classes of buckets that still hold several components, every pair that can be linked is found exactly: shingles are
+   ordered from rare to frequent, and a linked pair's first common shingle must leave both enough shingles for the overlap (a
+   prefix filter with positions). A shingle's rows outside its main component are joined with its other rows; the bound is a
+   condition of the join, so that the unlike pairs of a large group of near copies are not made.
+Pairs that sizes rule out, and pairs that were compared before, are not compared.
 
 Cases: ASCII letters are lower-cased, words are separated by space and tab to carriage return. A text of fewer than five words
 is one shingle; without words (or null) its set is empty and it is linked with nothing. Equal sets of any number, and groups of
@@ -23,7 +24,7 @@ last. Very long texts are shingled whole. Extra columns are ignored. An empty ta
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_bytes, slices, spread_join, written
@@ -32,8 +33,7 @@ from .components import components
 WORDS = 5
 PERCENT = 75
 BANDS = 48
-PIVOTS = 3
-LEADERS = 16
+_CACHE_BYTES = 32_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ROWS = "row long, doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>, packed binary"
 _HASHES: dict[bytes, int] = {}
@@ -120,14 +120,24 @@ def _confirmed(percent: int):
         import zstandard
 
         expand = zstandard.ZstdDecompressor().decompress
-        last: tuple = (None, None)
+        cache: dict[int, np.ndarray] = {}
+        held = 0
+
+        def found(node, packed):
+            nonlocal held
+            if node not in cache:
+                if held > _CACHE_BYTES:
+                    cache.clear()
+                    held = 0
+                cache[node] = shingles(expand(packed.as_py()))
+                held += cache[node].nbytes
+            return cache[node]
+
         for batch in batches:
             a, b, keep = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
             left, right = batch.column("left"), batch.column("right")
             for i in range(len(a)):
-                if last[0] != a[i]:
-                    last = a[i], shingles(expand(left[i].as_py()))
-                x, y = last[1], shingles(expand(right[i].as_py()))
+                x, y = found(a[i], left[i]), found(b[i], right[i])
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(keep, pa.bool_())})
@@ -151,6 +161,35 @@ def _classes(rows: DataFrame) -> DataFrame:
     return spread_join(held, held.groupBy("set_hi", "set_lo").agg(F.min("row").alias("node")), ["set_hi", "set_lo"]).select("row", "node")
 
 
+def _exploded(batches):
+    import pyarrow as pa
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for node, component, packed in zip(batch.column("node").to_pylist(), batch.column("component").to_pylist(), batch.column("packed"), strict=True):
+            found = shingles(expand(packed.as_py())).view(np.int64)
+            n = len(found)
+            yield pa.record_batch({"node": np.full(n, node), "component": np.full(n, component), "n": np.full(n, n), "shingle": found})
+
+
+def _possible(texts: DataFrame, at: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of ``at`` (node, component) in different components, with all those that are linked."""
+    held = written(spread_join(at, texts.select("node", "packed"), ["node"]).mapInArrow(_exploded, "node long, component long, n long, shingle long"))
+    shared = held.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
+    # A shingle's place from the end of its document: as many shingles can be common if it is the first common one.
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("times"), F.desc("shingle")))
+    prefix = written(spread_join(held, shared, ["shingle"]).withColumn("rest", place).where(F.col("rest") * 100 >= F.col("n") * percent).drop("times"))
+    by = prefix.groupBy("shingle", "component").agg(F.count("*").alias("times"))
+    main = by.groupBy("shingle").agg(F.max_by("component", F.struct("times", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    rows = written(spread_join(prefix, main, ["shingle"]))
+    other = rows.select("shingle", F.col("node").alias("o_node"), F.col("component").alias("o_component"), F.col("n").alias("o_n"), F.col("rest").alias("o_rest"))
+    enough = F.least("rest", "o_rest") * (100 + percent) >= (F.col("n") + F.col("o_n")) * percent
+    once = (F.col("o_component") == F.col("main")) | (F.col("node") < F.col("o_node"))
+    met = spread_join(rows.where("component <> main"), other, ["shingle"]).where((F.col("component") != F.col("o_component")) & once & enough)
+    return met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
+
+
 def links(rows: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component) of the classes that are linked with another class."""
     first = classes.where("row = node").select("node")
@@ -159,43 +198,34 @@ def links(rows: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFr
     members = written(spread_join(buckets, lead, ["key"]))
     texts = written(rows.select(F.col("row").alias("node"), "packed", "n_shingles").join(members.select("node").distinct(), "node", "left_semi"))
     sizes = texts.select("node", "n_shingles")
-    fresh = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    tested = written(_tested(fresh, texts, sizes, percent))
-    found, fresh = None, tested
-    used, members, turn = members.select("key", F.col("lead").alias("node")).distinct(), members.select("key", "node"), 0
-    while True:
-        new = fresh.where("linked").select("a", "b")
-        found = components(new if found is None else new.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        at = spread_join(members, found, ["node"], "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "node").alias("main")).where("low <> high").select("key", "main")
-        members = written(spread_join(at, mixed, ["key"]))
-        if members.isEmpty():
-            return found
-        out, turn = members.where("component <> main"), turn + 1
-        if turn <= PIVOTS:
-            order = F.xxhash64(F.col("node"), F.lit(turn))
-            pivots = members.where("component = main").groupBy("key").agg(F.min_by("node", order).alias("low"), F.max_by("node", order).alias("high"))
-            both = spread_join(out.select("key", "node"), pivots, ["key"])
-            pairs = both.select("node", F.explode(F.array("low", "high")).alias("other"))
-        else:
-            spare = spread_join(out, used.withColumn("seen", F.lit(1)), ["key", "node"], "left").where("seen is null")
-            most = LEADERS * 8 ** (turn - PIVOTS - 1)
-            leaders = written(spare.select("key", "node", F.col("component").alias("own"), F.row_number().over(_by_node()).alias("k")).where(F.col("k") <= most).drop("k"))
-            if leaders.isEmpty():
-                return found
-            used = used.unionByName(leaders.select("key", "node"))
-            pairs = spread_join(members.select("key", F.col("node").alias("other"), "component"), leaders, ["key"]).where("component <> own").select("node", "other")
-        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        untested = spread_join(pairs, tested.select("a", "b", F.lit(1).alias("seen")), ["a", "b"], "left").where("seen is null").select("a", "b")
-        fresh = written(_tested(untested, texts, sizes, percent))
-        tested = tested.unionByName(fresh)
-        members = members.select("key", "node")
-
-
-def _by_node():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("key").orderBy("node")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return written(_tested(pairs, texts, sizes, percent))
+
+    def joined(new: DataFrame, found: DataFrame) -> DataFrame:
+        return components(new.where("linked").select("a", "b").unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+    def mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+        at = spread_join(members.select("key", "node"), found, ["node"], "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        several = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "node").alias("main")).where("low <> high")
+        return written(spread_join(at, several.select("key", "main"), ["key"]))
+
+    stars = confirmed(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
+    found = components(stars.where("linked").select("a", "b"))
+    members = mixed(members, found)
+    order = F.xxhash64("node")
+    pivots = members.where("component = main").groupBy("key").agg(F.min_by("node", order).alias("low"), F.max_by("node", order).alias("high"))
+    met = spread_join(members.where("component <> main").select("key", "node"), pivots, ["key"]).select("node", F.explode(F.array("low", "high")).alias("other"))
+    more = confirmed(_fresh(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), stars))
+    found = joined(more, found)
+    at = mixed(members, found).select("node", "component").distinct()
+    last = confirmed(_fresh(_possible(texts, at, percent), stars.unionByName(more)))
+    return joined(last, found)
+
+
+def _fresh(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) without those in ``tested``."""
+    return spread_join(pairs, tested.select("a", "b", F.lit(1).alias("seen")), ["a", "b"], "left").where("seen is null").select("a", "b")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, row: str | None = None) -> DataFrame:
