@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,24 @@ def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(docs: DataFrame, paths: set[str]) -> None:
+    """Removes tables that ``written`` made, but for those that ``docs`` reads, and has Spark's cleaner drop the shuffle files of
+    frames that nobody holds any more."""
+    spark = docs.sparkSession
+    read = docs.inputFiles() if paths else []
+    for path in [p for p in paths if not any(p.rsplit("/", 1)[1] in f for f in read)]:
+        _remove(spark, path)
+        _WRITTEN.discard(path)
+        paths.discard(path)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def tables() -> set[str]:
+    """The tables that ``written`` has made and that have not been removed."""
+    return set(_WRITTEN)
+
+
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` through an exchange of both sides that adaptive execution can split.
 
