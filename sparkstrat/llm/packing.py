@@ -1,18 +1,19 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-1. Documents are encoded where they are scanned and laid into blocks of ``BLOCK`` tokens (a document may span blocks), which
-   are written as a table: a block is the partition of the packing, and no token is shuffled to find its place.
-2. Each block's tokens by source are summed up along the blocks. What the mixture owes a source where a block begins (its
-   target share of all tokens before, less its own) is carried into the block as the deficit with which its queue starts.
-3. In a block, each round adds to every queue its share of 1024 tokens and takes pieces of at most ``PACKET`` tokens while the
-   deficit covers them; what is left is carried to the next round. The stream is cut into windows of 1024 tokens.
+1. Documents are encoded where they are scanned and written as chunks of one source: a chunk knows its place among its
+   source's tokens of that scan task, and sums over the tasks give its place in the source's whole stream.
+2. The streams are dealt into blocks of ``BLOCK`` tokens by ``Cuts``: units of ``UNIT`` tokens of all sources are put in the order
+   in which the mixture comes to them, and every ``BLOCK`` tokens of that order are a block. So each block holds every source
+   at its target share to about a unit, however the table is stored. Chunks are cut at the blocks' ends.
+3. In a block, each round adds to every queue its share (in the block) of 1024 tokens and takes pieces of at most ``PACKET``
+   tokens while the deficit covers them; what is left is carried to the next round. The stream is cut into windows of 1024 tokens.
 
-A block holds a whole number of windows but for the last one of a scan task; its rest is cut into windows whose lengths are
-powers of two, so that nothing is padded.
+Every block but the last holds a whole number of windows; the last one's rest is cut into windows whose lengths are powers of
+two, so that nothing is padded. When the targets make a source run out, the others share the rest of the stream.
 
 Cases: null or empty text is the end token alone. A null source is a queue of its own. Targets default to the sources' shares
 of all tokens; a source without a target gets its own share. Documents of any length, repeated rows and one source that
-holds most rows need nothing special; an empty table gives no pieces. Extra columns are ignored.
+holds most rows, or tables stored by source, need nothing special; an empty table gives no pieces. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections import deque
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,46 +31,143 @@ from .tokens import as_bytes, flat_encoder
 WINDOW = 1024
 PACKET = 256
 BLOCK = 1 << 19
-_BLOCKS = "block long, doc_id array<long>, source array<string>, start array<long>, n array<int>, doc_tokens array<long>, ids binary, mix_source array<string>, mix_tokens array<long>"
+UNIT = 1024
+CHUNK = 1 << 15
+HELD = 1 << 20
+BROADCAST_BASES = 50_000
+_ROWS = "doc_id array<long>, start array<long>, n array<int>, doc_tokens array<long>, ids binary"
+_CHUNKS = f"task int, source string, first long, tokens long, {_ROWS}"
+_PARTS = f"block long, source string, at long, {_ROWS}"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
-def _laid(path: str, end: int, size: int):
+def _row_arrays(rows: list, ids: list) -> dict:
+    """Arrow columns of lists of (doc_id, start, n, doc_tokens) and their ids."""
+    import pyarrow as pa
+
+    kinds = {"doc_id": pa.int64(), "start": pa.int64(), "n": pa.int32(), "doc_tokens": pa.int64()}
+    return {k: pa.array([[x[i] for x in part] for part in rows], pa.list_(kind)) for i, (k, kind) in enumerate(kinds.items())} | {"ids": pa.array(ids, pa.binary())}
+
+
+def _laid(path: str, end: int):
+    """Chunks of at most ``CHUNK`` tokens of one source; at most ``HELD`` tokens wait for theirs to fill."""
+
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        context, enc, number = TaskContext.get(), flat_encoder(path), 0
-        first = (context.partitionId() if context else 0) << 24
-        rows, ids, held = [], [], 0
-
-        def block():
-            mix: dict[str, int] = {}
-            for _, source, _, n, _ in rows:
-                mix[source] = mix.get(source, 0) + n
-            c = list(zip(*rows, strict=True))
-            return pa.record_batch({
-                "block": pa.array([first + number], pa.int64()), "doc_id": pa.array([c[0]], pa.list_(pa.int64())), "source": pa.array([c[1]], pa.list_(pa.string())),
-                "start": pa.array([c[2]], pa.list_(pa.int64())), "n": pa.array([c[3]], pa.list_(pa.int32())), "doc_tokens": pa.array([c[4]], pa.list_(pa.int64())),
-                "ids": pa.array([b"".join(ids)], pa.binary()), "mix_source": pa.array([list(mix)], pa.list_(pa.string())), "mix_tokens": pa.array([list(mix.values())], pa.list_(pa.int64())),
-            })
+        context, enc = TaskContext.get(), flat_encoder(path)
+        task = context.partitionId() if context else 0
+        open_rows: dict[str, list] = {}
+        open_ids: dict[str, list] = {}
+        size: dict[str, int] = {}
+        first: dict[str, int] = {}
+
+        def chunk(source: str):
+            rows, ids, n = open_rows.pop(source), b"".join(open_ids.pop(source)), size.pop(source)
+            at = first.get(source, 0)
+            first[source] = at + n
+            return pa.record_batch({"task": pa.array([task], pa.int32()), "source": pa.array([source], pa.string()), "first": pa.array([at], pa.int64()), "tokens": pa.array([n], pa.int64())} | _row_arrays([rows], [ids]))
 
+        held = 0
         for batch in batches:
             for part in slices(batch, "text", 4_000_000):
                 values = enc.flat([t or "" for t in part.column("text").to_pylist()])
                 for doc_id, source, value in zip(part.column("doc_id").to_pylist(), part.column("source").to_pylist(), values, strict=True):
-                    data = value + as_bytes([end])
+                    source, data = source or "", value + as_bytes([end])
                     total, start = len(data) // 4, 0
                     while start < total:
-                        n = min(total - start, size - held)
-                        rows.append((doc_id, source or "", start, n, total))
-                        ids.append(data[4 * start : 4 * (start + n)])
+                        n = min(total - start, CHUNK - size.get(source, 0))
+                        open_rows.setdefault(source, []).append((doc_id, start, n, total))
+                        open_ids.setdefault(source, []).append(data[4 * start : 4 * (start + n)])
+                        size[source] = size.get(source, 0) + n
                         start, held = start + n, held + n
-                        if held == size:
-                            yield block()
-                            rows, ids, held, number = [], [], 0, number + 1
-        if rows:
-            yield block()
+                        if size[source] == CHUNK:
+                            held -= CHUNK
+                            yield chunk(source)
+                if held > HELD:
+                    for source in sorted(size):
+                        yield chunk(source)
+                    held = 0
+        for source in sorted(size):
+            yield chunk(source)
+
+    return run
+
+
+class Cuts:
+    """Where each source's stream is cut by the blocks.
+
+    Unit k of a source with phase f is due at (k + f) x unit / share; the phases keep sources with little text apart. Blocks are
+    cut from the tokens in that order, ties by source, so that a cut is exact to the token."""
+
+    def __init__(self, tokens: list[int], share: list[float], block: int, unit: int = UNIT):
+        self.tokens, self.share = np.array(tokens, np.int64), np.maximum(np.array(share, float), 1e-12)
+        self.block, self.unit, self.total = block, unit, int(sum(tokens))
+        self.phase = (np.arange(len(tokens)) * 0.6180339887498949 + 0.5) % 1
+        self.whole = self.tokens // unit
+        self.last_due = (self.whole * unit + self.phase * (self.tokens - self.whole * unit)) / self.share
+        self.high = float((self.tokens / self.share).max()) * 2 + 1
+        self.known: dict[int, np.ndarray] = {}
+
+    def due(self, x: float) -> np.ndarray:
+        """Tokens of each source that are due by ``x``."""
+        units = np.clip(np.floor(x * self.share / self.unit - self.phase) + 1, 0, self.whole).astype(np.int64)
+        return np.where((units == self.whole) & (x >= self.last_due), self.tokens, units * self.unit)
+
+    def at(self, b: int) -> np.ndarray:
+        """Tokens of each source before block ``b``."""
+        if b * self.block >= self.total:
+            return self.tokens
+        if b <= 0:
+            return np.zeros_like(self.tokens)
+        if b not in self.known:
+            if len(self.known) > 256:
+                self.known.clear()
+            low, high = -1.0, self.high
+            while low < (x := (low + high) / 2) < high:
+                low, high = (low, x) if self.due(x).sum() >= b * self.block else (x, high)
+            before, jump = self.due(low), self.due(high) - self.due(low)
+            rest = b * self.block - before.sum()
+            self.known[b] = before + np.clip(rest - (np.cumsum(jump) - jump), 0, jump)
+        return self.known[b]
+
+    def parts(self, source: int, first: int, n: int):
+        """(block, low, high) of the parts of a source's tokens ``first`` to ``first + n``."""
+        b = int(self.due(first / self.share[source]).sum()) // self.block
+        while b > 0 and self.at(b)[source] > first:
+            b -= 1
+        low = first
+        while low < first + n:
+            high = min(first + n, int(self.at(b + 1)[source]))
+            if high > low:
+                yield b, low, high
+            low, b = max(low, high), b + 1
+
+
+def _dealt(mix):
+    def run(batches):
+        import pyarrow as pa
+
+        names, tokens, share, block = mix.value
+        number, cuts = {s: i for i, s in enumerate(names)}, Cuts(tokens, share, block)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1).to_pydict()
+                source, first, n, ids = row["source"][0], row["base"][0] + row["first"][0], row["tokens"][0], memoryview(row["ids"][0])
+                todo, out = list(zip(row["doc_id"][0], row["start"][0], row["n"][0], row["doc_tokens"][0], strict=True))[::-1], []
+                for b, low, high in cuts.parts(number[source], first, n):
+                    rows, left = [], high - low
+                    while left:
+                        doc_id, start, k, total = todo.pop()
+                        take = min(k, left)
+                        rows.append((doc_id, start, take, total))
+                        left -= take
+                        if take < k:
+                            todo.append((doc_id, start + take, k - take, total))
+                    out.append((b, low, rows, ids[4 * (low - first) : 4 * (high - first)]))
+                blocks, at, rows, data = zip(*out, strict=True)
+                yield pa.record_batch({"block": pa.array(blocks, pa.int64()), "source": pa.array([source] * len(out), pa.string()), "at": pa.array(at, pa.int64())} | _row_arrays(rows, list(data)))
 
     return run
 
@@ -103,30 +202,32 @@ def drr(entries: list[tuple[str, int]], share: dict[str, float], owed: dict[str,
 
 
 def _packed(window: int, packet: int):
-    def run(batches):
+    def run(table):
         import pyarrow as pa
 
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = batch.slice(r, 1).to_pydict()
-                ids, n, source, start, doc_id, doc_tokens = memoryview(row["ids"][0]), row["n"][0], row["source"][0], row["start"][0], row["doc_id"][0], row["doc_tokens"][0]
-                base, total = [0], sum(n)
-                for x in n:
-                    base.append(base[-1] + x)
-                share = {m["source"]: m["share"] for m in row["mix"][0]}
-                owed = {m["source"]: m["owed"] for m in row["mix"][0]}
-                sequence, offset, left, out = row["block"][0] << 11, 0, total, []
-                room = min(window, 1 << (left.bit_length() - 1))
-                for i, first, take in drr(list(zip(source, n, strict=True)), share, owed, window, packet):
-                    while take:
-                        k = min(take, room - offset)
-                        at = 4 * (base[i] + first)
-                        out.append((doc_id[i], start[i] + first, k, zlib.crc32(ids[at : at + 4 * k]), doc_tokens[i], sequence, offset, source[i]))
-                        first, take, offset, left = first + k, take - k, offset + k, left - k
-                        if offset == room and left:
-                            sequence, offset, room = sequence + 1, 0, min(window, 1 << (left.bit_length() - 1))
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
-                yield pa.record_batch([pa.array(c, pa.string() if k == "source" else pa.int64()) for k, c in zip(names, zip(*out, strict=True), strict=True)], names=names)
+        parts = sorted(table.to_pylist(), key=lambda r: (r["source"], r["at"]))
+        block, ids = parts[0]["block"], memoryview(b"".join(p["ids"] for p in parts))
+        rows = [(p["source"], *x) for p in parts for x in zip(p["doc_id"], p["start"], p["n"], p["doc_tokens"], strict=True)]
+        mix: dict[str, int] = {}
+        base = [0]
+        for source, _, _, n, _ in rows:
+            mix[source] = mix.get(source, 0) + n
+            base.append(base[-1] + n)
+        total = base[-1]
+        share = {s: n / total for s, n in mix.items()}
+        sequence, offset, left, out = block << 11, 0, total, []
+        room = min(window, 1 << (left.bit_length() - 1))
+        for i, first, take in drr([(r[0], r[3]) for r in rows], share, {}, window, packet):
+            source, doc_id, start, _, doc_tokens = rows[i]
+            while take:
+                k = min(take, room - offset)
+                at = 4 * (base[i] + first)
+                out.append((doc_id, start + first, k, zlib.crc32(ids[at : at + 4 * k]), doc_tokens, sequence, offset, source))
+                first, take, offset, left = first + k, take - k, offset + k, left - k
+                if offset == room and left:
+                    sequence, offset, room = sequence + 1, 0, min(window, 1 << (left.bit_length() - 1))
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
+        return pa.table([pa.array(c, pa.string() if k == "source" else pa.int64()) for k, c in zip(names, zip(*out, strict=True), strict=True)], names=names)
 
     return run
 
@@ -136,20 +237,13 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     window: a power of two of at most BLOCK; targets: wanted shares by source, of any sum."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"))
-    blocks = written(rows.mapInArrow(_laid(path, end, BLOCK), _BLOCKS))
-    mix = blocks.select("block", F.explode(F.arrays_zip(F.col("mix_source").alias("source"), F.col("mix_tokens").alias("tokens"))).alias("m")).select("block", "m.*")
-    all_tokens = blocks.agg(F.sum(F.expr("aggregate(mix_tokens, 0L, (a, x) -> a + x)")).alias("all_tokens"))
-    wanted = F.lit(None).cast("double")
-    for name, weight in (targets or {}).items():
-        wanted = F.when(F.col("source") == name, F.lit(float(weight))).otherwise(wanted)
-    shares = mix.groupBy("source").agg(F.sum("tokens").alias("own")).crossJoin(F.broadcast(all_tokens))  # one row on that side
-    shares = shares.select("source", F.coalesce(wanted, F.col("own") / F.col("all_tokens")).alias("share"))
-    # Tokens before each block: by scan task, then by block of the task.
-    per_block = mix.groupBy("block").agg(F.sum("tokens").alias("tokens")).withColumn("task", F.shiftright("block", 24))
-    per_task = per_block.groupBy("task").agg(F.sum("tokens").alias("t")).select("task", (F.sum("t").over(Window.orderBy("task")) - F.col("t")).alias("before_task"))
-    in_task = per_block.select("block", "task", (F.sum("tokens").over(Window.partitionBy("task").orderBy("block")) - F.col("tokens")).alias("in_task"))
-    before = in_task.join(per_task, "task").select("block", (F.col("before_task") + F.col("in_task")).alias("before"))
-    own = mix.select("block", "source", (F.sum("tokens").over(Window.partitionBy("source").orderBy("block")) - F.col("tokens")).alias("own_before"))
-    owed = own.join(before, "block").join(shares, "source").select("block", F.struct("source", "share", (F.col("share") * F.col("before") - F.col("own_before")).alias("owed")).alias("m"))
-    carried = owed.groupBy("block").agg(F.collect_list("m").alias("mix"))  # as many as the block has sources
-    return blocks.drop("mix_source", "mix_tokens").join(carried, "block").mapInArrow(_packed(window, packet), _PIECES)
+    chunks = written(rows.mapInArrow(_laid(path, end), _CHUNKS))
+    per_task = chunks.groupBy("source", "task").agg(F.sum("tokens").alias("t"))
+    base = per_task.select("source", "task", (F.sum("t").over(Window.partitionBy("source").orderBy("task")) - F.col("t")).alias("base"))
+    mix = sorted((r.source, r.t) for r in per_task.groupBy("source").agg(F.sum("t").alias("t")).collect())  # a row for each source
+    total = sum(t for _, t in mix)
+    share = [(targets or {}).get(s, t / total) for s, t in mix]
+    dealt = docs.sparkSession.sparkContext.broadcast(([s for s, _ in mix], [t for _, t in mix], share, BLOCK))
+    small = base.count() <= BROADCAST_BASES  # rows of a source, a task and a sum
+    placed = chunks.join(F.broadcast(base) if small else base, ["source", "task"])
+    return placed.mapInArrow(_dealt(dealt), _PARTS).groupBy("block").applyInArrow(_packed(window, packet), _PIECES)

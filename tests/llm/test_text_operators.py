@@ -128,6 +128,31 @@ def test_drr_keeps_proportions():
     assert taken == {"a": 18000, "b": 6000}
 
 
+def test_packing_mixes_a_table_stored_by_source(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 1 << 14)
+    rows = [(i, " ".join(f"word{(i * k) % 53}" for k in range(1, 150)), "abc"[i // 150]) for i in range(450)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1), JSON).collect()
+    total = sum(r.length for r in out)
+    own = {s: sum(r.length for r in out if r.source == s) / total for s in "abc"}
+    windows: dict = {}
+    for r in out:
+        found = windows.setdefault(r.sequence_id, dict.fromkeys("abc", 0))
+        found[r.source] += r.length
+    whole = [w for w in windows.values() if sum(w.values()) == 1024]
+    assert len(whole) == total // 1024 >= 64 and all(abs(w[s] / 1024 - own[s]) <= 0.36 for w in whole for s in "abc")
+
+
+def test_cuts_deal_every_token_at_its_share():
+    tokens = [700_001, 300, 41_000, 5, 90_000]
+    for share in ([t / sum(tokens) for t in tokens], [0.2, 0.0, 0.5, 0.1, 0.2]):
+        cuts = packing.Cuts(tokens, share, 1 << 14)
+        ends = [cuts.at(b) for b in range(-(-sum(tokens) // (1 << 14)) + 1)]
+        assert all(e.sum() == min(b << 14, sum(tokens)) for b, e in enumerate(ends)) and all((b >= a).all() for a, b in zip(ends, ends[1:]))
+        for i, n in enumerate(tokens):
+            parts = [x for k in range(0, n, 999) for x in cuts.parts(i, k, min(999, n - k))]
+            assert [p[1] for p in parts] == [0, *[p[2] for p in parts[:-1]]] and all(ends[b][i] <= lo < hi <= ends[b + 1][i] for b, lo, hi in parts)
+
+
 def test_pii(docs):
     marked = {r.doc_id: r.pii for r in pii.annotate(docs).where("doc_id is not null").collect()}
     text = TEXTS[17]
