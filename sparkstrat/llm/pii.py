@@ -3,14 +3,14 @@
 Base: e-mail addresses, IP addresses, card and phone numbers by pattern and check. They are the protected entities.
 
 Information-theoretic sanitisation: each entity occurrence has a window of ``REACH`` characters on either side. The distinct
-windows of an entity that hold a term are its co-occurrences; together with the documents that hold the term anywhere in the
-corpus they estimate how much of the entity's information content the term discloses:
+texts in which a window of an entity holds a term are its co-occurrences; together with the distinct texts that hold the term
+anywhere in the corpus they estimate how much of the entity's information content the term discloses:
 
     disclosure = PMI(entity, term) / IC(entity) = 1 + log(n_te / n_t) / log(N / n_e)
 
-Terms with at least ``SUPPORT`` co-occurrences and a disclosure of ``GENERALISE`` or more are spans of kind ``term`` where they
-stand in a window of that entity; the sanitised text has their class for them, or nothing from ``REMOVE`` on. Equal windows
-count once, so that copies do not make their own words look telling.
+Terms in at least ``SUPPORT`` distinct windows of the entity with a disclosure of ``GENERALISE`` or more are spans of kind ``term`` where they
+stand in a window of that entity; the sanitised text has their class for them, or nothing from ``REMOVE`` on. Every count is
+of distinct texts, so that exact copies change none of them, and equal windows are one support.
 
 Cases: null text counts as empty; texts without entities get no spans. Spans may overlap where kinds do; the sanitised text
 replaces the union. Repeated rows get the same spans each. Extra columns are ignored. Empty tables give empty results.
@@ -127,18 +127,19 @@ def _windows(found: DataFrame) -> DataFrame:
 
 def disclosing(found: DataFrame, windows: DataFrame) -> DataFrame:
     """entity, term, disclosure of the pairs that reach the lower threshold."""
-    distinct = windows.dropDuplicates(["entity", "window"])
-    n_e = distinct.groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = distinct.select("entity", F.explode(F.array_distinct(F.transform("terms", lambda t: F.lower(t["value"])))).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    # n_t is at least the number of documents with the term in a window: what that rules out needs no count over all texts.
-    near = windows.select("doc_id", "body", F.explode(F.array_distinct(F.transform("terms", lambda t: F.lower(t["value"])))).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    total = found.agg(F.count("*").alias("total"))
-    likely = pairs.where(F.col("n_te") >= SUPPORT).join(n_e, "entity").join(near, "term").crossJoin(F.broadcast(total))  # one row on that side
+    places = windows.dropDuplicates(["entity", "body", "window"])
+    n_e = places.groupBy("entity").agg(F.countDistinct("body").alias("n_e"))
+    terms_of = F.explode(F.array_distinct(F.transform("terms", lambda t: F.lower(t["value"])))).alias("term")
+    pairs = places.select("entity", "body", "window", terms_of).groupBy("entity", "term").agg(F.countDistinct("window").alias("support"), F.countDistinct("body").alias("n_te"))
+    # n_t is at least the number of texts with the term in a window: what that rules out needs no count over all texts.
+    near = places.select("body", terms_of).distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    total = found.agg(F.countDistinct("body").alias("total"))
+    likely = pairs.where(F.col("support") >= SUPPORT).join(n_e, "entity").join(near, "term").crossJoin(F.broadcast(total))  # one row on that side
     pairs = written(likely.where(_disclosure("n_near") >= GENERALISE).drop("n_near"))
     terms = pairs.select("term").distinct()
     wanted = F.broadcast(terms) if pairs.count() <= BROADCAST_TERMS else terms  # a row has 40 characters at most
-    held = found.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = held.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    held = found.select("body", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    n_t = held.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     return pairs.join(n_t, "term").select("entity", "term", _disclosure("n_t").alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 

@@ -170,6 +170,14 @@ def test_pii_terms(spark):
     assert not any(out[i].pii.term_spans for i in range(6, 200))
 
 
+def test_pii_terms_beside_copies(spark):
+    fill = lambda i: " ".join(f"filler{i}n{k}" for k in range(6))
+    texts = [f"{fill(i)} Zaphod42 wrote extra{i} from zb@mail.example.org today" if i < 5 else f"wrote {fill(i)} from today" for i in range(200)]
+    rows = list(enumerate(texts + [texts[0]] * 36))
+    out = {r.doc_id: r for r in pii.annotate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(out) == 236 and all([s.value for s in out[i].pii.term_spans] == (["Zaphod42"] if i < 5 or i >= 200 else []) for i in out)
+
+
 def test_token_counts(docs):
     from tokenizers import Tokenizer
 
