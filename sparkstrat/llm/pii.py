@@ -8,8 +8,8 @@ anywhere in the corpus they estimate how much of the entity's information conten
 
     disclosure = PMI(entity, term) / IC(entity) = 1 + log(n_te / n_t) / log(N / n_e)
 
-Terms in at least ``SUPPORT`` distinct windows of the entity with a disclosure of ``GENERALISE`` or more are spans of kind ``term`` where they
-stand in a window of that entity; the sanitised text has their class for them, or nothing from ``REMOVE`` on. Every count is
+Terms in at least ``SUPPORT`` distinct windows of the entity with a disclosure of ``GENERALISE`` or more are spans of kind ``term`` wherever
+they stand, in all documents; the sanitised text has their class for them, or nothing from ``REMOVE`` on. Every count is
 of distinct texts, so that exact copies change none of them, and equal windows are one support.
 
 Cases: null text counts as empty; texts without entities get no spans. Spans may overlap where kinds do; the sanitised text
@@ -125,8 +125,8 @@ def _windows(found: DataFrame) -> DataFrame:
     return cut.select("doc_id", "body", F.concat_ws(":", "s.kind", number).alias("entity"), F.xxhash64(F.lower("left"), F.lower("right")).alias("window"), F.concat(before, after).alias("terms"))
 
 
-def disclosing(found: DataFrame, windows: DataFrame) -> DataFrame:
-    """entity, term, disclosure of the pairs that reach the lower threshold."""
+def disclosing(found: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """entity, term, disclosure of the pairs that reach the lower threshold; doc_id, body, term wherever a candidate stands."""
     places = windows.dropDuplicates(["entity", "body", "window"])
     n_e = places.groupBy("entity").agg(F.countDistinct("body").alias("n_e"))
     terms_of = F.explode(F.array_distinct(F.transform("terms", lambda t: F.lower(t["value"])))).alias("term")
@@ -138,39 +138,44 @@ def disclosing(found: DataFrame, windows: DataFrame) -> DataFrame:
     pairs = written(likely.where(_disclosure("n_near") >= GENERALISE).drop("n_near"))
     terms = pairs.select("term").distinct()
     wanted = F.broadcast(terms) if pairs.count() <= BROADCAST_TERMS else terms  # a row has 40 characters at most
-    held = found.select("body", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = held.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    return pairs.join(n_t, "term").select("entity", "term", _disclosure("n_t").alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    lowered = F.transform(F.regexp_extract_all(F.col("text"), F.lit(TERM), F.lit(0)), F.lower)
+    held = written(found.select("doc_id", "body", F.explode(F.array_distinct(lowered)).alias("term")).join(wanted, "term", "left_semi"))
+    n_t = held.select("body", "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    return pairs.join(n_t, "term").select("entity", "term", _disclosure("n_t").alias("disclosure")).where(F.col("disclosure") >= GENERALISE), held
 
 
 def _disclosure(n: str) -> Column:
     return 1 + F.ln(F.least(F.lit(1.0), F.col("n_te") / F.col(n))) / F.ln(F.greatest(F.lit(2.0), F.col("total") / F.col("n_e")))
 
 
-def term_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, body (xxhash64 of the text) and added: the term spans, (start, kind, end, value, disclosure), of documents that have any."""
+def term_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, body (xxhash64 of the text) and added: the disclosing terms, (term, disclosure), of documents that hold any."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("body"), base_spans(F.col("text")).alias("base"))
     windows = written(_windows(found.select("doc_id", "text", "body", "base")))
-    telling = disclosing(found, windows)
-    marks = windows.select("doc_id", "body", "entity", F.explode("terms").alias("t")).withColumn("term", F.lower("t.value"))
-    marks = spread_join(marks, telling, ["entity", "term"]).groupBy("doc_id", "body", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.col("t.value").alias("value")).agg(F.max("disclosure").alias("disclosure"))
-    span = F.struct("start", F.lit(4).alias("kind"), "end", "value", "disclosure")
-    added = marks.groupBy("doc_id", "body").agg(F.array_sort(F.collect_set(span)).alias("added"))  # as many as the document's windows hold
-    return added
+    pairs, held = disclosing(found, windows)
+    telling = pairs.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+    marks = spread_join(held, telling, ["term"])
+    return marks.groupBy("doc_id", "body").agg(F.collect_set(F.struct("term", "disclosure")).alias("added"))  # as many as the document has terms
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with columns base_spans, term_spans and sanitised in a struct ``pii``."""
-    added = term_spans(docs, id_col, text_col)
+    added = term_marks(docs, id_col, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.withColumn("_key", F.struct(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("body")))
     joined = spread_join(base, added.select(F.struct("doc_id", "body").alias("_key"), F.col("added").alias("_added")), ["_key"], "left")
-    terms = F.coalesce("_added", F.array().cast("array<struct<start:int,kind:int,end:int,value:string,disclosure:double>>"))
     plain = F.transform(base_spans(text), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"), F.lit(None).cast("double").alias("disclosure")))
     names = F.array(*[F.lit(f"[{x.upper()}]") for x in KINDS])
     put = lambda s: F.when(F.coalesce(s["disclosure"] >= REMOVE, F.lit(False)), F.lit("")).otherwise(F.get(names, s["kind"]))
-    pii = joined.withColumn("_terms", terms).withColumn("_base", plain)
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string,disclosure:double>>")
+
+    def marked(words: Column) -> Column:
+        found = F.filter(spans(_blanked(text, F.col("_base")), TERM, 4), lambda s: F.map_contains_key(words, F.lower(s["value"])))
+        return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"), words[F.lower(s["value"])].alias("disclosure")))
+
+    terms = F.when(F.col("_added").isNull(), none).otherwise(_let(F.map_from_entries("_added"), marked))
+    pii = joined.withColumn("_base", plain).withColumn("_terms", terms)
     clean = F.when(F.col(text_col).isNotNull(), replaced(text, F.array_sort(F.concat("_base", "_terms")), put))
     return pii.withColumn("pii", F.struct(F.col("_base").alias("base_spans"), F.col("_terms").alias("term_spans"), clean.alias("sanitised"))).drop("_key", "_added", "_terms", "_base")
 

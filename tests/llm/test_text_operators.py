@@ -178,6 +178,17 @@ def test_pii_terms_beside_copies(spark):
     assert len(out) == 236 and all([s.value for s in out[i].pii.term_spans] == (["Zaphod42"] if i < 5 or i >= 200 else []) for i in out)
 
 
+def test_pii_terms_far_from_their_entity(spark):
+    fill = lambda i: " ".join(f"filler{i}n{k}" for k in range(6))
+    near = lambda i: f"{fill(i)} Zaphod42 wrote extra{i} from zb@mail.example.org today"
+    texts = [f"zaphod42 {' '.join(f'w{i}x{k}' for k in range(40))} {near(i)}" if i < 3 else near(i) if i < 10 else f"wrote {fill(i)} from today" for i in range(200)]
+    texts[150] = f"only ZAPHOD42 is here, {fill(150)}"
+    out = {r.doc_id: r for r in pii.annotate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    wanted = {i: [(m.start(), m.end(), m[0]) for m in re.finditer("zaphod42", t, re.I)] for i, t in enumerate(texts)}
+    assert {i: [(s.start, s.end, s.value) for s in r.pii.term_spans] for i, r in out.items()} == wanted
+    assert not any("zaphod42" in r.pii.sanitised.lower() for r in out.values())
+
+
 def test_token_counts(docs):
     from tokenizers import Tokenizer
 
