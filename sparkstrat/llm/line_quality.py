@@ -2,8 +2,8 @@
 
 Lines are normalised (ASCII letters lower-cased, runs of white space as one space, trimmed) and hashed. The distinct documents
 that hold a line are counted for each host; lines in more than ``MAX_DOCS`` of a host's documents are removed there, and a
-document that loses more than half of its words is depleted and rejected. Exact copies count as one document: they are the
-business of exact dedup, and must not make each other's lines look like boilerplate.
+document that loses more than half of its words is depleted and rejected. Exact copies with ids of their own are documents of
+their own; rows that repeat doc_id and text are one.
 
 Cases: null text counts as empty; a text without words has no lines and fails the base rules. A null host is a host of its own.
 Rows that repeat doc_id, host and text get the same verdict each. Lines without a word are neither counted nor removed. A line
@@ -65,7 +65,7 @@ def repeat_words(words: Column) -> Column:
 def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words and clean_text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), text.alias("text")).withColumn("body", F.xxhash64("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), text.alias("text")).withColumn("body", F.xxhash64("doc_id", "text"))  # tells repeated ids apart
     line = F.posexplode(F.transform(lines_of(F.col("text")), lambda x: _let(normal_line(x), lambda t: F.struct(F.xxhash64(t).alias("h"), F.size(F.split(t, " ")).alias("w")))))
     lines = base.select("doc_id", "host", "body", line.alias("idx", "line")).select("doc_id", "host", "body", "idx", "line.h", "line.w")
     frequent = lines.select("host", "h", "body").distinct().groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select("host", "h")

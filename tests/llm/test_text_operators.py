@@ -71,6 +71,13 @@ def test_line_quality_removes_common_lines(spark):
     assert not out[9].kept and out[9].n_removed_words == 120
 
 
+def test_line_quality_counts_documents(spark):
+    page = "License text here\n" + " ".join(f"w{k}" for k in range(80))
+    rows = [(i, page, "h") for i in range(5)] + [(7, "Other line\n" + " ".join(f"v{k}" for k in range(80)), "h")] * 5
+    out = {r.doc_id: r for r in line_quality.line_quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_docs=3).collect()}
+    assert all(out[i].n_removed_words == 83 and not out[i].kept for i in range(5)) and out[7].n_removed_words == 0 and out[7].kept
+
+
 def shingle_sets(docs):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     for i, t in all_texts(docs):
