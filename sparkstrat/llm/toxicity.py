@@ -1,8 +1,8 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
 Both dictionaries end with the same common words, so that ordinary text compresses alike with either; they begin with what sets
-the classes apart: words that stand in many different places of one class and in few of the other (at least ``PLACES``, ``HEAD``
-times as many as the foremost such word, and ``RATIO`` times as often as in the other class). Each overlapping window of a
+the classes apart: words that stand in many different places of one class and in few of the other (at least ``PLACES`` and
+``RATIO`` times as often as in the other class), so that rarer words and those of smaller languages count too. Each overlapping window of a
 lower-cased text is compressed with both; the differences of the lengths, of the most toxic window and of the text as a whole,
 go through a logistic curve that is calibrated on labelled rows, whose 0.5 is the threshold.
 
@@ -27,7 +27,6 @@ OVERLAP = 16
 LEVEL = 9
 PLACES = 8
 RATIO = 8.0
-HEAD = 0.25
 COMMON = 1200
 _EDGE = ".,;:!?()[]{}\"'|*#$%&"
 
@@ -132,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chars = {r.toxic: r.chars for r in n}
     rate = F.lit(chars.get(0, 1) / max(1, chars.get(1, 1)))
     apart = lambda own, other, scale: places.where((F.col(own) >= PLACES) & (F.col(own) * scale >= RATIO * (F.col(other) + 1))).select("word", F.col(own).alias("n")).orderBy(F.desc("n"), "word").limit(400).collect()
-    toxic, ordinary = ([r.word for r in found if r.n >= HEAD * found[0].n] for found in (apart("t", "o", rate), apart("o", "t", 1 / rate)))
+    toxic, ordinary = ([r.word for r in found] for found in (apart("t", "o", rate), apart("o", "t", 1 / rate)))
     common = [r.word for r in places.orderBy(F.desc(F.col("t") + F.col("o")), "word").limit(COMMON).collect() if r.word not in {*toxic, *ordinary}]
     text = lambda words: "".join(f" {w}" for w in reversed(words)).encode()
     base, own, other = text(common), text(toxic), text(ordinary)

@@ -228,6 +228,14 @@ def test_toxicity(spark):
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).where("score > 0").count() == 0
 
 
+def test_toxicity_learns_rarer_words(spark):
+    own = lambda i: " knave" if i % 15 == 0 else f" horrid villain v{i} and villain"
+    rows = [(i, " ".join(f"w{(i * k) % 97}" for k in range(1, 40)) + (own(i) + f" u{i} end" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    toxic, ordinary, _ = toxicity.fit(docs.drop("toxic"), docs.drop("text"))
+    assert all(w in toxic.split() and w not in ordinary.split() for w in (b"villain", b"knave"))
+
+
 def test_bpe(docs):
     import tiktoken
 
