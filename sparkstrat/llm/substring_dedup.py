@@ -1,9 +1,9 @@
-"""Repeated substrings by sparse prefix doubling.
+"""Repeated substrings by hashed fixed-length fingerprints at content-defined anchors, in place of prefix doubling.
 
-A byte is removed if a string of ``LENGTH`` bytes over it also starts earlier. The suffix ranks are doubled, not from every
-position but from content-defined anchors: the anchor of a window of LENGTH bytes is the 32-byte gram of the lowest hash in it, so
+A byte is removed if a string of ``LENGTH`` bytes over it also starts earlier. No rank is sorted, doubled
+or reranked: strings of fixed lengths at content-defined anchors are named by hashes and grouped by equality. The anchor of a window of LENGTH bytes is the 32-byte gram of the lowest hash in it, so
 equal windows have equal anchors, and there is an anchor for every 35 bytes or so. Consecutive windows with one anchor are a
-segment. Spark groups the rank pairs of positions at growing offsets, and drops those that are unique:
+segment. Spark groups the pairs of hashes of strings of growing lengths, and drops those that are unique:
 
 1. 32 bytes: anchors. A segment whose anchor occurs nowhere else is done.
 2. anchor and segment (its windows' whole bytes). A segment that occurs earlier is removed; if all segments of an anchor are
