@@ -21,14 +21,14 @@ CACHED_CHARS = 48
 WHOLE_CHARS = 100_000
 # The split pattern of byte-level pre-tokenizers.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_ODD = re.compile(r" (?:\s|\Z)")
+ODD = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r"(?= \S)")
 _ENCODERS: dict = {}
 
 
 def pieces_of(text: str) -> list[str]:
     """The text, cut before each space that a visible character follows."""
-    if _ODD.search(text):
+    if ODD.search(text):
         return [x for x in _CUT.split(text) if x]
     first, *rest = text.split(" ")
     return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
