@@ -26,7 +26,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_quality.line_quality(documents(spark, sf_dir)).drop("clean_text")
+    return line_quality.line_quality(documents(spark, sf_dir)).drop("gone", "host", "body")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
