@@ -1,6 +1,8 @@
 """Personal data and the terms that disclose it, in DataFrame functions only.
 
-Base: e-mail addresses, IP addresses, card and phone numbers by pattern and check. They are the protected entities.
+Base: e-mail addresses, IP addresses, card and phone numbers by pattern and check. They are the protected entities, with secrets: runs
+of 20 or more ASCII letters and digits that hold at least four of each, outside base spans (keys and tokens; words of a language don't
+hold digits).
 
 Information-theoretic sanitisation: each entity occurrence has a window of ``REACH`` characters on either side. The distinct
 texts in which a window of an entity holds a term are its co-occurrences; together with the distinct texts that hold the term
@@ -8,12 +10,15 @@ anywhere in the corpus they estimate how much of the entity's information conten
 
     disclosure = PMI(entity, term) / IC(entity) = 1 + log(n_te / n_t) / log(N / n_e)
 
-Terms in at least ``SUPPORT`` distinct windows of the entity with a disclosure of ``GENERALISE`` or more are spans of kind ``term`` wherever
+An entity is a value (this address), and so is each kind (any secret): a term that stands beside values of a kind in nearly all
+texts that hold it gives away that one is there. Terms in at least ``SUPPORT`` distinct windows of a value, or ``KIND_SUPPORT`` of a
+kind, with a disclosure of ``GENERALISE`` or more are spans of kind ``term`` wherever
 they stand, in all documents; the sanitised text has their class for them, or nothing from ``REMOVE`` on. Every count is
 of distinct texts, so that exact copies change none of them, and equal windows are one support.
 
 Cases: null text counts as empty; texts without entities get no spans. Spans may overlap where kinds do; the sanitised text
-replaces the union. Repeated rows get the same spans each. Extra columns are ignored. Empty tables give empty results.
+replaces the union. Repeated rows get the same spans each. Ties of a disclosure need no order. Very long texts are searched whole.
+Extra columns, of any name, are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from .common import spread_join, written
 
 REACH = 64
 SUPPORT = 3
+KIND_SUPPORT = 10
 GENERALISE = 0.8
 REMOVE = 0.95
 BROADCAST_TERMS = 50_000
@@ -34,7 +40,9 @@ IP = r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"[\p{L}\p{N}_]{4,40}"
-KINDS = ["email", "ip", "card", "phone", "term"]
+SECRET = r"[A-Za-z0-9]{20,}+"
+KINDS = ["email", "ip", "card", "phone", "secret", "term"]
+SECRETS, TERMS = 4, 5
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -82,6 +90,18 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(email, ip, card, phone))
 
 
+def secret_spans(text: Column, base: Column) -> Column:
+    """The secrets of a text that do not touch its base spans."""
+    least = lambda v, letters: F.length(v) - F.length(F.regexp_replace(v, letters, "")) >= 4
+    free = lambda s: ~F.exists(base, lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"]))
+    return F.filter(spans(text, SECRET, SECRETS), lambda s: least(s["value"], "[0-9]") & least(s["value"], "[A-Za-z]") & free(s))
+
+
+def protected(text: Column) -> Column:
+    """Base spans and secrets, by start, then kind."""
+    return _let(base_spans(text), lambda base: F.array_sort(F.concat(base, secret_spans(text, base))))
+
+
 def replaced(text: Column, marks: Column, put) -> Column:
     """``text`` with ``put(span)`` for the union of overlapping sorted spans (that of the first span in each union)."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -113,16 +133,18 @@ def joined(marks: Column) -> Column:
 
 
 def _windows(found: DataFrame) -> DataFrame:
-    """A row for each entity occurrence: doc_id, body, entity, window (hash) and its terms as spans."""
+    """Two rows for each entity occurrence, for its value and for its kind: doc_id, body, entity, window (hash) and its terms as spans."""
     blanked = _blanked(F.col("text"), F.col("base"))
     one = found.where(F.size("base") > 0).withColumn("blank", blanked).select("doc_id", "body", "blank", F.explode("base").alias("s"))
     low = F.greatest(F.lit(0), F.col("s.start") - REACH)
     left, right = F.substring(F.col("blank"), F.col("low") + 1, F.col("s.start") - F.col("low")), F.substring(F.col("blank"), F.col("s.end") + 1, F.lit(REACH))
-    number = F.when(F.col("s.kind") == 0, F.lower("s.value")).when(F.col("s.kind") == 1, F.col("s.value")).otherwise(_digits(F.col("s.value")))
+    number = F.when(F.col("s.kind") == 0, F.lower("s.value")).when(F.col("s.kind").isin(1, SECRETS), F.col("s.value")).otherwise(_digits(F.col("s.value")))
     cut = one.withColumn("low", low).withColumn("left", left).withColumn("right", right)
-    before = F.filter(spans(F.col("left"), TERM, 4, F.col("low")), lambda t: (t["start"] > F.col("low")) | (F.col("low") == 0))
-    after = F.filter(spans(F.col("right"), TERM, 4, F.col("s.end")), lambda t: (t["end"] < F.col("s.end") + REACH) | (t["end"] == F.length("blank")))
-    return cut.select("doc_id", "body", F.concat_ws(":", "s.kind", number).alias("entity"), F.xxhash64(F.lower("left"), F.lower("right")).alias("window"), F.concat(before, after).alias("terms"))
+    before = F.filter(spans(F.col("left"), TERM, TERMS, F.col("low")), lambda t: (t["start"] > F.col("low")) | (F.col("low") == 0))
+    after = F.filter(spans(F.col("right"), TERM, TERMS, F.col("s.end")), lambda t: (t["end"] < F.col("s.end") + REACH) | (t["end"] == F.length("blank")))
+    entities = F.array(F.concat_ws(":", "s.kind", number), F.col("s.kind").cast("string"))
+    each = cut.select("doc_id", "body", entities.alias("entities"), F.xxhash64(F.lower("left"), F.lower("right")).alias("window"), F.concat(before, after).alias("terms"))
+    return each.select("doc_id", "body", F.explode("entities").alias("entity"), "window", "terms")
 
 
 def disclosing(found: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -134,7 +156,7 @@ def disclosing(found: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFra
     # n_t is at least the number of texts with the term in a window: what that rules out needs no count over all texts.
     near = places.select("body", terms_of).distinct().groupBy("term").agg(F.count("*").alias("n_near"))
     total = found.agg(F.countDistinct("body").alias("total"))
-    likely = pairs.where(F.col("support") >= SUPPORT).join(n_e, "entity").join(near, "term").crossJoin(F.broadcast(total))  # one row on that side
+    likely = pairs.where(F.col("support") >= F.when(F.instr("entity", ":") > 0, SUPPORT).otherwise(KIND_SUPPORT)).join(n_e, "entity").join(near, "term").crossJoin(F.broadcast(total))  # one row on that side
     pairs = written(likely.where(_disclosure("n_near") >= GENERALISE).drop("n_near"))
     terms = pairs.select("term").distinct()
     wanted = F.broadcast(terms) if pairs.count() <= BROADCAST_TERMS else terms  # a row has 40 characters at most
@@ -151,7 +173,7 @@ def _disclosure(n: str) -> Column:
 def term_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, body (xxhash64 of the text) and added: the disclosing terms, (term, disclosure), of documents that hold any."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("body"), base_spans(F.col("text")).alias("base"))
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("body"), protected(F.col("text")).alias("base"))
     windows = written(_windows(found.select("doc_id", "text", "body", "base")))
     pairs, held = disclosing(found, windows)
     telling = pairs.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
@@ -160,24 +182,24 @@ def term_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with columns base_spans, term_spans and sanitised in a struct ``pii``."""
+    """``docs`` with columns base_spans, secret_spans, term_spans and sanitised in a struct ``pii``."""
     added = term_marks(docs, id_col, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.withColumn("_key", F.struct(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("body")))
     joined = spread_join(base, added.select(F.struct("doc_id", "body").alias("_key"), F.col("added").alias("_added")), ["_key"], "left")
-    plain = F.transform(base_spans(text), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"), F.lit(None).cast("double").alias("disclosure")))
+    plain = F.transform(protected(text), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"), F.lit(None).cast("double").alias("disclosure")))
     names = F.array(*[F.lit(f"[{x.upper()}]") for x in KINDS])
     put = lambda s: F.when(F.coalesce(s["disclosure"] >= REMOVE, F.lit(False)), F.lit("")).otherwise(F.get(names, s["kind"]))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string,disclosure:double>>")
 
     def marked(words: Column) -> Column:
-        found = F.filter(spans(_blanked(text, F.col("_base")), TERM, 4), lambda s: F.map_contains_key(words, F.lower(s["value"])))
+        found = F.filter(spans(_blanked(text, F.col("_base")), TERM, TERMS), lambda s: F.map_contains_key(words, F.lower(s["value"])))
         return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"), words[F.lower(s["value"])].alias("disclosure")))
 
     terms = F.when(F.col("_added").isNull(), none).otherwise(_let(F.map_from_entries("_added"), marked))
     pii = joined.withColumn("_base", plain).withColumn("_terms", terms)
     clean = F.when(F.col(text_col).isNotNull(), replaced(text, F.array_sort(F.concat("_base", "_terms")), put))
-    return pii.withColumn("pii", F.struct(F.col("_base").alias("base_spans"), F.col("_terms").alias("term_spans"), clean.alias("sanitised"))).drop("_key", "_added", "_terms", "_base")
+    return pii.withColumn("pii", F.struct(F.filter("_base", lambda s: s["kind"] < SECRETS).alias("base_spans"), F.filter("_base", lambda s: s["kind"] == SECRETS).alias("secret_spans"), F.col("_terms").alias("term_spans"), clean.alias("sanitised"))).drop("_key", "_added", "_terms", "_base")
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -36,7 +36,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = pii.annotate(documents(spark, sf_dir).select("doc_id", "text")).withColumn("base", F.col("pii.base_spans"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
-    every = F.array_sort(F.concat(F.col("base"), F.col("pii.term_spans")))
+    every = F.array_sort(F.concat(F.col("base"), F.col("pii.secret_spans"), F.col("pii.term_spans")))
     return marked.select("doc_id", *[count(k) for k in range(4)], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(every).alias("spans"))
 
 
