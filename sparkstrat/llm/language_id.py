@@ -1,14 +1,17 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts n-grams of 1 to 3 code points of lower-cased text in ``BUCKETS`` hash buckets for each language; the smoothed
-log-probabilities are a matrix of languages x buckets, whose size is fixed by ``max_langs`` and ``BUCKETS`` and which is
+log-probabilities are a matrix of languages x buckets, of at most ``max_langs`` x ``BUCKETS`` numbers, which is
 broadcast. Scoring turns each Arrow batch into sparse (document, bucket) counts in numpy and multiplies them with the matrix.
 
-The model is fitted on at most ``sample`` labelled rows (those whose hashed id is smallest); everything else covers all rows.
+The model is fitted on about ``sample`` labelled rows of each language (all rows of a language that has fewer), chosen by a hash of
+the id, so that rare languages are learnt as well; everything else covers all rows. More than ``max_langs`` languages are an error.
 
 Cases: a text that is null, empty or without a letter is ``und`` with score 0, as is every text if no row is labelled. Ties
 between languages go to the alphabetically first. Very long texts are scored whole, a part at a time. The score is the
-posterior of the chosen language at ``EVIDENCE`` n-grams, so that it does not saturate with length.
+posterior of the chosen language at ``EVIDENCE`` n-grams, so that it does not saturate with length. Repeated rows count, and are
+scored, each by itself. Null ids are learnt from like others. Extra columns, of any name, are ignored. Empty tables give an
+empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 BUCKETS = 1 << 16
-SAMPLE = 6000
+SAMPLE = 2000
 MAX_LANGS = 256
 EVIDENCE = 30.0
 _MUL = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -68,19 +71,30 @@ def _counted(langs: list[str]):
     return run
 
 
+def _vector(table):
+    """One row for a language: its counts of all buckets."""
+    import pyarrow as pa
+
+    counts = np.zeros(BUCKETS, "<f4")
+    counts[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
+    return pa.table({"lang": [table.column("lang")[0].as_py()], "counts": [counts.tobytes()]})
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, max_langs: int = MAX_LANGS):
-    """(languages, float32 matrix of log-probabilities) from at most ``sample`` rows with text and language."""
+    """(languages, float32 matrix of log-probabilities) from about ``sample`` rows of each language with text and language."""
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    chosen = rows.select(F.xxhash64("doc_id").alias("h"), "lang").orderBy("h").limit(sample).collect()
-    langs = sorted({r.lang for r in chosen})[:max_langs]
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()
+    if len(sizes) > max_langs:
+        raise ValueError(f"more than max_langs = {max_langs} languages")
+    langs = sorted(r.lang for r in sizes)
     if not langs:
         return [], np.zeros((0, BUCKETS), np.float32)
-    last = chosen[-1].h
-    counts = np.ones((len(langs), BUCKETS)) * 0.5
-    some = rows.where((F.xxhash64("doc_id") <= last) & F.col("lang").isin(langs)).select("text", "lang")
-    at = {x: i for i, x in enumerate(langs)}
-    table = some.mapInArrow(_counted(langs), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    np.add.at(counts, (table["lang"].map(at).to_numpy(int), table["bucket"].to_numpy(int)), table["n"].to_numpy(float))
+    share = F.broadcast(labelled.sparkSession.createDataFrame([(r.lang, min(1.0, sample / r.n)) for r in sizes], "lang string, share double"))  # a row for each language
+    place = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / (1 << 30)
+    some = rows.join(share, "lang").where(place < F.col("share")).select("text", "lang")
+    table = some.mapInArrow(_counted(langs), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = {r.lang: np.frombuffer(bytes(r.counts), "<f4") for r in table.groupBy("lang").applyInArrow(_vector, "lang string, counts binary").collect()}  # at most max_langs vectors
+    counts = np.stack([found.get(x, np.zeros(BUCKETS, np.float32)) for x in langs]).astype(float) + 0.5
     return langs, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
 
 
@@ -120,8 +134,11 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
     return rows.mapInArrow(_scored(spark.sparkContext.broadcast(model)), "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model, text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """``docs`` without the rows whose language can't be told (``und``) or is less sure than ``least``; same columns."""
+def keep_known(docs: DataFrame, model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that have no letter or whose language is less sure than ``least`` (by default: it must be likelier than all
+    others together); same columns. Without a model, all rows with a letter stay."""
+    if not model[0]:
+        return docs.where(F.col(text_col).cast("string").rlike(r"\p{L}"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
