@@ -5,13 +5,14 @@
 2. The streams are dealt into blocks of ``BLOCK`` tokens by ``Cuts``: units of ``UNIT`` tokens of all sources are put in the order
    in which the mixture comes to them, and every ``BLOCK`` tokens of that order are a block. So each block holds every source
    at its target share to about a unit, however the table is stored. Chunks are cut at the blocks' ends.
-3. In a block, each round adds to every queue its share (in the block) of 1024 tokens and takes pieces of at most ``PACKET``
-   tokens while the deficit covers them; what is left is carried to the next round. The stream is cut into windows of 1024 tokens.
+3. In a block, each round adds to every queue its share of 1024 tokens and takes pieces of at most ``PACKET`` tokens while the
+   deficit covers them; what is left is carried to the next round. The stream is cut into windows of 1024 tokens. The shares are the
+   block's own where they are the targets to two units, and the targets elsewhere (where a source runs out).
 
 Every block but the last holds a whole number of windows; the last one's rest is cut into windows whose lengths are powers of
 two, so that nothing is padded. When the targets make a source run out, the others share the rest of the stream.
 
-Cases: null or empty text is the end token alone. A null source is a queue of its own. Targets default to the sources' shares
+Cases: null or empty text is the end token alone. A null source is a queue of its own, apart from the empty string. Targets default to the sources' shares
 of all tokens; a source without a target gets its own share. Documents of any length, repeated rows and one source that
 holds most rows, or tables stored by source, need nothing special; an empty table gives no pieces. Extra columns are ignored.
 """
@@ -22,7 +23,7 @@ import zlib
 from collections import deque
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, written
@@ -74,7 +75,7 @@ def _laid(path: str, end: int):
             for part in slices(batch, "text", 4_000_000):
                 values = enc.flat([t or "" for t in part.column("text").to_pylist()])
                 for doc_id, source, value in zip(part.column("doc_id").to_pylist(), part.column("source").to_pylist(), values, strict=True):
-                    source, data = source or "", value + as_bytes([end])
+                    data = value + as_bytes([end])
                     total, start = len(data) // 4, 0
                     while start < total:
                         n = min(total - start, CHUNK - size.get(source, 0))
@@ -201,20 +202,23 @@ def drr(entries: list[tuple[str, int]], share: dict[str, float], owed: dict[str,
         ring = [s for s in ring if queues[s]]
 
 
-def _packed(window: int, packet: int):
+def _packed(mix, window: int, packet: int):
     def run(table):
         import pyarrow as pa
 
         parts = sorted(table.to_pylist(), key=lambda r: (r["source"], r["at"]))
         block, ids = parts[0]["block"], memoryview(b"".join(p["ids"] for p in parts))
         rows = [(p["source"], *x) for p in parts for x in zip(p["doc_id"], p["start"], p["n"], p["doc_tokens"], strict=True)]
-        mix: dict[str, int] = {}
+        held: dict[str, int] = {}
         base = [0]
         for source, _, _, n, _ in rows:
-            mix[source] = mix.get(source, 0) + n
+            held[source] = held.get(source, 0) + n
             base.append(base[-1] + n)
         total = base[-1]
-        share = {s: n / total for s, n in mix.items()}
+        names, _, targets, _ = mix.value
+        wanted = dict(zip(names, targets, strict=True))
+        near = all(abs(n - total * wanted[s] / sum(targets)) <= 2 * UNIT for s, n in held.items())
+        share = {s: n / total for s, n in held.items()} if near else wanted
         sequence, offset, left, out = block << 11, 0, total, []
         room = min(window, 1 << (left.bit_length() - 1))
         for i, first, take in drr([(r[0], r[3]) for r in rows], share, {}, window, packet):
@@ -232,18 +236,28 @@ def _packed(window: int, packet: int):
     return run
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: dict[str, float] | None = None, end: int = 0, window: int = WINDOW, packet: int = PACKET) -> DataFrame:
+def _key(source: Column) -> Column:
+    """A queue's key: null and the empty string are two sources."""
+    return F.when(source.isNull(), "-").otherwise(F.concat(F.lit("+"), source))
+
+
+def _name(key: str) -> str | None:
+    return None if key == "-" else key[1:]
+
+
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: dict[str | None, float] | None = None, end: int = 0, window: int = WINDOW, packet: int = PACKET) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     window: a power of two of at most BLOCK; targets: wanted shares by source, of any sum."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _key(F.col(source_col).cast("string")).alias("source"))
     chunks = written(rows.mapInArrow(_laid(path, end), _CHUNKS))
     per_task = chunks.groupBy("source", "task").agg(F.sum("tokens").alias("t"))
     base = per_task.select("source", "task", (F.sum("t").over(Window.partitionBy("source").orderBy("task")) - F.col("t")).alias("base"))
     mix = sorted((r.source, r.t) for r in per_task.groupBy("source").agg(F.sum("t").alias("t")).collect())  # a row for each source
     total = sum(t for _, t in mix)
-    share = [(targets or {}).get(s, t / total) for s, t in mix]
+    share = [(targets or {}).get(_name(s), t / total) for s, t in mix]
     dealt = docs.sparkSession.sparkContext.broadcast(([s for s, _ in mix], [t for _, t in mix], share, BLOCK))
     small = base.count() <= BROADCAST_BASES  # rows of a source, a task and a sum
     placed = chunks.join(F.broadcast(base) if small else base, ["source", "task"])
-    return placed.mapInArrow(_dealt(dealt), _PARTS).groupBy("block").applyInArrow(_packed(window, packet), _PIECES)
+    pieces = placed.mapInArrow(_dealt(dealt), _PARTS).groupBy("block").applyInArrow(_packed(dealt, window, packet), _PIECES)
+    return pieces.withColumn("source", F.when(F.col("source") != "-", F.expr("substr(source, 2)")))
