@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = context._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sparkstrat-"))
         found = context._jsc.sc().getCheckpointDir().get()
     elif not context._jsc.sc().getCheckpointDir().isDefined():
@@ -62,10 +64,25 @@ def release(docs: DataFrame, paths: set[str]) -> None:
         _remove(spark, path)
         _WRITTEN.discard(path)
         paths.discard(path)
+    sweep(spark)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Has Spark's cleaner drop the shuffle files of frames that nobody holds any more, so that steps do not add up on disk."""
     gc.collect()
     spark._jvm.System.gc()
 
 
+def drop(table: DataFrame) -> None:
+    """Removes a table that ``written`` made and that no later step reads, and sweeps."""
+    spark = table.sparkSession
+    files = table.inputFiles()
+    for path in [p for p in _WRITTEN if any(p.rsplit("/", 1)[1] in f for f in files)]:
+        _remove(spark, path)
+        _WRITTEN.discard(path)
+    sweep(spark)
+
+
 def tables() -> set[str]:
     """The tables that ``written`` has made and that have not been removed."""
     return set(_WRITTEN)

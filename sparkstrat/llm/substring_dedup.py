@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, spread_join, written
+from .common import arrow_bytes, drop, spread_join, sweep, written
 
 LENGTH = 100
 GRAM = 32
@@ -39,6 +39,7 @@ _FIRST = -(1 << 63)
 _POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 _SEGMENTS = "doc long, body long, start int, last int, gram long, whole long, again int"
 _CORES = "doc long, body long, gram long, core long, core2 long, starts binary, names binary"
+_PACKED = "doc_id long, doc long, body long, packed binary"
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
@@ -329,13 +330,36 @@ def _removed(batches):
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.binary()], strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def _packed(batches):
+def _bit(doc: np.ndarray, body: np.ndarray) -> np.ndarray:
+    return (_mix(doc.astype(np.int64).view(np.uint64) ^ _mix(body.astype(np.int64).view(np.uint64))) & np.uint64(BITS - 1)).astype(np.int64)
+
+
+def _marked(batches):
     import pyarrow as pa
-    import zstandard
 
-    squeeze = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        yield pa.record_batch({"doc_id": batch.column("doc_id"), "doc": batch.column("doc"), "body": batch.column("body"), "packed": pa.array([squeeze(t) for t in arrow_bytes(batch.column("text"))], pa.binary())})
+        yield pa.record_batch({"gram": pa.array(_bit(batch.column("doc").to_numpy(), batch.column("body").to_numpy()), pa.int64())})
+
+
+def _sure(wanted, inside: bool):
+    """Rows that the bitmap of documents may have (inside), with packed texts; or the results of the others, which lose nothing."""
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        squeeze, bits = zstandard.ZstdCompressor(level=3).compress, np.frombuffer(wanted.value, np.uint8)
+        for batch in batches:
+            bit = _bit(batch.column("doc").to_numpy(), batch.column("body").to_numpy())
+            part = batch.filter(pa.array((bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool) == inside))
+            texts = arrow_bytes(part.column("text"))
+            if inside:
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "doc": part.column("doc"), "body": part.column("body"), "packed": pa.array([squeeze(t) for t in texts], pa.binary())})
+            else:
+                none = pa.array(np.zeros(len(texts), np.int64))
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "n_removed": none, "n_spans": none, "kept": pa.array(texts, pa.binary())})
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -343,30 +367,49 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     base = base.select("doc_id", F.coalesce("doc_id", F.lit(_FIRST)).alias("doc"), F.xxhash64("text").alias("body"), "text")
+    spark = docs.sparkSession
     source = base.select("doc", "body", "text")
     found = source.mapInArrow(_segmented(), _SEGMENTS)
     ends = found.groupBy("gram").agg(*[f(c).alias(f"{k}_{c}") for c in ("doc", "whole") for k, f in (("low", F.min), ("high", F.max))], F.max("again").alias("twice"))
     shared = written(ends.where("low_doc <> high_doc or low_whole <> high_whole or twice = 1").select("gram", "low_doc", (F.col("low_whole") == F.col("high_whole")).alias("alike")))
-    # Both sides are dealt anew by the anchor, so a hot one can be split.
-    some = source.mapInArrow(_segmented(docs.sparkSession.sparkContext.broadcast(_bitmap(shared))), _SEGMENTS)
+    sweep(spark)
+    # Both sides are dealt anew by a hash of the anchor, so a hot one can be split.
+    some = source.mapInArrow(_segmented(spark.sparkContext.broadcast(_bitmap(shared))), _SEGMENTS)
     doubted = lambda c: F.when(~F.col("alike"), F.col(c)).alias(c)
-    hits = written(some.join(shared, "gram").where("not alike or doc > low_doc or again = 1").select("doc", "body", "start", "last", "again", "alike", doubted("gram"), doubted("whole")))
+    hits = written(spread_join(some, shared, ["gram"]).where("not alike or doc > low_doc or again = 1").select("doc", "body", "start", "last", "again", "alike", doubted("gram"), doubted("whole")))
+    drop(shared)
     kinds = hits.where("not alike").groupBy("gram", "whole").agg(F.min("doc").alias("first"))
     mixed = written(spread_join(hits.where("not alike"), kinds, ["gram", "whole"]).select("doc", "body", "start", "last", "gram", "again", "first"))
-    later = [hits.where("alike"), mixed.where("doc > first or again = 1")]
+    alike = written(hits.where("alike").select("doc", "body", "start", "last"))
+    drop(hits)
+    later = [alike, mixed.where("doc > first or again = 1")]
     doubt = mixed.where("doc = first and again = 0").groupBy("doc", "body").agg(F.collect_list(F.struct("start", "last", "gram")).alias("doubt"))  # as many as the document has segments
-    texts = base.mapInArrow(_packed, "doc_id long, doc long, body long, packed binary")
-    cores = written(texts.select("doc", "body", "packed").join(doubt, ["doc", "body"]).mapInArrow(_cores, _CORES))
+    rows = lambda which: source.withColumn("doc_id", F.col("doc")).mapInArrow(_sure(_documents(which), True), _PACKED)
+    cores = written(spread_join(rows(mixed.where("doc = first and again = 0")).select("doc", "body", "packed"), doubt, ["doc", "body"]).select("doc", "body", "packed", "doubt").mapInArrow(_cores, _CORES))
+    sweep(spark)
     later.append(cores.where("core is null").select("doc", "body", "starts").mapInArrow(_single, "doc long, body long, start int, last int"))
     common = cores.where("core is not null").groupBy("gram", "core", "core2").agg(F.count("*").alias("n")).where("n > 1").select("gram", "core", "core2")
     windows = written(spread_join(cores.where("core is not null"), common, ["gram", "core", "core2"]).select("doc", "body", "core", "starts", "names").mapInArrow(_unrolled, "doc long, body long, core long, start int, name long"))
+    sweep(spark)
     earliest = windows.groupBy("core", "name").agg(F.min("doc").alias("first"), F.max("doc").alias("final")).where("first <> final").select("core", "name", "first")
-    later.append(spread_join(windows, earliest, ["core", "name"]).where("doc > first").withColumn("last", F.col("start")))
+    last = written(spread_join(windows, earliest, ["core", "name"]).where("doc > first").select("doc", "body", "start").withColumn("last", F.col("start")))
+    drop(windows)
+    later.append(last)
     runs = later[0].select("doc", "body", "start", "last")
     for x in later[1:]:
         runs = runs.unionByName(x.select("doc", "body", "start", "last"))
-    runs = runs.groupBy("doc", "body").agg(F.collect_set(F.struct("start", "last")).alias("runs"))  # as many as the document has windows
-    return texts.join(runs, ["doc", "body"], "left").select("doc_id", "packed", "runs").mapInArrow(_removed, _RESULT)
+    runs = written(runs.groupBy("doc", "body").agg(F.collect_set(F.struct("start", "last")).alias("runs")))  # as many as the document has windows
+    for x in (cores, mixed, alike, last):
+        drop(x)
+    touched = _documents(runs)
+    clean = base.mapInArrow(_sure(touched, False), _RESULT)
+    packed = base.mapInArrow(_sure(touched, True), _PACKED)
+    return clean.unionByName(spread_join(packed, runs, ["doc", "body"], "left").select("doc_id", "packed", "runs").mapInArrow(_removed, _RESULT))
+
+
+def _documents(rows: DataFrame):
+    """A broadcast bitmap of the documents of ``rows`` (doc, body): it spares the shuffle of the others, and changes no result."""
+    return rows.sparkSession.sparkContext.broadcast(_bitmap(rows.select("doc", "body").distinct().mapInArrow(_marked, "gram long")))
 
 
 def digest(data: bytes) -> str:

@@ -61,20 +61,28 @@ def test_line_quality(docs):
     assert len(out) == len(TEXTS) + 1
     long = out[(8, 8000)]
     assert long.kept and not long.base_failed and long.word_chars == len(LONG.replace(" ", ""))
-    assert out[(0, 0)].base_failed and out[(0, 0)].clean_text == ""
+    assert out[(0, 0)].base_failed and out[(0, 0)].gone == []
+    assert line_quality.clean(docs).columns == docs.columns
 
 
 def test_line_quality_removes_common_lines(spark):
     rows = [(i, "License text here\n" + " ".join(f"w{i}x{k}" for k in range(80)), "h") for i in range(5)] + [(9, "\n".join(["License  TEXT here"] * 40), "h")]
-    out = {r.doc_id: r for r in line_quality.line_quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_docs=3).collect()}
-    assert all(out[i].kept and "License" not in out[i].clean_text and out[i].n_removed_words == 3 for i in range(5))
+    rows += [(20 + i, " ".join(f"v{i}x{k}" for k in range(80)), "h") for i in range(14)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    limits = {"max_percent": 25, "min_docs": 4}
+    out = {r.doc_id: r for r in line_quality.line_quality(table, **limits).collect()}
+    assert all(out[i].kept and out[i].n_removed_words == 3 for i in range(5)) and all(out[20 + i].n_removed_words == 0 for i in range(14))
     assert not out[9].kept and out[9].n_removed_words == 120
+    clean = {r.doc_id: r.text for r in line_quality.clean(table, **limits).collect()}
+    assert set(clean) == set(out) - {9} and clean[0] == rows[0][1].split("\n")[1]
+    for other in ({"max_percent": 30, "min_docs": 4}, {"max_percent": 25, "min_docs": 7}):  # 6 documents of 20 hold the line
+        assert line_quality.line_quality(table, **other).where("n_removed_words > 0").count() == 0
 
 
 def test_line_quality_counts_documents(spark):
     page = "License text here\n" + " ".join(f"w{k}" for k in range(80))
     rows = [(i, page, "h") for i in range(5)] + [(7, "Other line\n" + " ".join(f"v{k}" for k in range(80)), "h")] * 5
-    out = {r.doc_id: r for r in line_quality.line_quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_docs=3).collect()}
+    out = {r.doc_id: r for r in line_quality.line_quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_docs=4).collect()}
     assert all(out[i].n_removed_words == 83 and not out[i].kept for i in range(5)) and out[7].n_removed_words == 0 and out[7].kept
 
 
@@ -233,7 +241,19 @@ def test_toxicity_learns_rarer_words(spark):
     rows = [(i, " ".join(f"w{(i * k) % 97}" for k in range(1, 40)) + (own(i) + f" u{i} end" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(240)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     toxic, ordinary, _ = toxicity.fit(docs.drop("toxic"), docs.drop("text"))
-    assert all(w in toxic.split() and w not in ordinary.split() for w in (b"villain", b"knave"))
+    assert all(w in toxic and w not in ordinary for w in (b"villain", b"knave"))
+
+
+def test_toxicity_cases(spark):
+    rows = [(1, "a b", 1, "x"), (1, "a b", 1, "x"), (2, "c d", 0, "y"), (None, "e", 1, None), (3, None, 0, None)]
+    clash = spark.createDataFrame(rows, "doc_id long, text string, score int, toxic string")
+    labels = spark.createDataFrame([(1, 1, "t"), (2, 0, "t"), (3, 0, None), (None, 1, None), (2, None, None), (4, 7, None)], "doc_id long, toxic int, text string")
+    model = toxicity.fit(clash, labels)
+    out = toxicity.score(clash, model)
+    assert out.columns == ["doc_id", "score", "predicted"] and out.count() == 5 and out.where("score between 0 and 1").count() == 5
+    for none in (toxicity.fit(clash.limit(0), labels), toxicity.fit(clash, labels.where("toxic = 1"))):
+        assert none is None and {r.score for r in toxicity.score(clash, none).collect()} == {0.0}
+    assert toxicity.score(clash.limit(0), model).count() == 0
 
 
 def test_bpe(docs):
