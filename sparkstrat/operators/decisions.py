@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import decision, guard, hhmm, merged_reasons
-
-
+from ..functions import RAISE, decision, guard, hhmm, lag_valid, merged_reasons
 
 def _running(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(W.unboundedPreceding, 0)
@@ -111,33 +109,75 @@ ROW = {
 }
 
 
-def delay(w, x, steps=1, initial=None, warmup="emit_null"):
-    """The value ``steps`` rows ago; for resets, partition the window by ``epochs``."""
+MISSING = ("error", "skip", "emit_null")
+
+
+def _with_missing(x: Column, found: Column, missing: str, policy: str) -> Column:
+    """``found``, but for rows without an input: an error, null, or (skip) the state as it stands."""
+    if missing not in MISSING:
+        raise ValueError("STATE_MISSING_POLICY_UNKNOWN")
+    if missing == "skip":
+        return found
+    return guard(F.when(x.isNotNull(), found), x.isNull(), "STATE_MISSING_EVENT", policy if missing == "error" else "null")
+
+
+def delay(w, x, steps=1, initial=None, warmup="emit_null", missing="error", policy=RAISE):
+    """The valid input ``steps`` back; missing inputs don't count. For resets, partition the window by ``epochs``."""
     if steps < 1:
         raise ValueError("STATE_STEPS_INVALID")
+    if warmup not in ("emit_null", "emit_initial", "error"):
+        raise ValueError("STATE_WARMUP_POLICY_UNKNOWN")
+    ready = F.count(x).over(w.rowsBetween(W.unboundedPreceding, -1)) >= steps
     start = F.lit(initial) if warmup == "emit_initial" else F.lit(None)
-    return F.coalesce(F.lag(x, steps).over(w), start)
+    return _with_missing(x, F.when(ready, lag_valid(x, steps).over(w)).otherwise(start), missing, policy)
+
+
+class Reducers:
+    """Named reducers of ``state.accumulate``: a builder of (running window, input, initial) for each."""
+
+    def __init__(self):
+        self._builders: dict = {}
+
+    def register(self, name: str, build) -> None:
+        if name in self._builders:
+            raise ValueError("STATE_REDUCER_DUPLICATE")
+        self._builders[name] = build
 
+    def names(self) -> list[str]:
+        return sorted(self._builders)
 
-def accumulate(w, x, reducer="sum", initial=0):
+    def get(self, name: str):
+        if name not in self._builders:
+            raise ValueError("STATE_REDUCER_UNKNOWN")
+        return self._builders[name]
+
+
+def default_reducers() -> Reducers:
+    """count, last, max, min, sum; without an initial value the first input is the state."""
+    found = Reducers()
+    started = lambda initial: F.lit(initial)
+    found.register("count", lambda run, x, initial: F.lit(initial or 0) + F.count(x).over(run))
+    found.register("sum", lambda run, x, initial: F.sum(x).over(run) if initial is None else F.lit(initial) + F.coalesce(F.sum(x).over(run), F.lit(0)))
+    found.register("last", lambda run, x, initial: F.coalesce(F.last(x, ignorenulls=True).over(run), started(initial)))
+    found.register("min", lambda run, x, initial: F.least(F.min(x).over(run), started(initial)))
+    found.register("max", lambda run, x, initial: F.greatest(F.max(x).over(run), started(initial)))
+    return found
+
+
+def accumulate(w, x, reducer="sum", initial=None, missing="error", policy=RAISE, reducers=None):
+    """The reducer's state after each input."""
     run = _running(w)
-    if reducer == "count":
-        return F.lit(initial) + F.count(x).over(run)
-    if reducer == "sum":
-        return F.lit(initial) + F.sum(x).over(run)
-    if reducer == "last":
-        return F.coalesce(F.last(x, ignorenulls=True).over(run), F.lit(initial))
-    if reducer in ("min", "max"):
-        inner = (F.min if reducer == "min" else F.max)(x).over(run)
-        return inner if initial is None else (F.least if reducer == "min" else F.greatest)(inner, F.lit(initial))
-    raise ValueError("STATE_REDUCER_UNKNOWN")
-
-
-def edge_detect(w, x, mode="rising"):
-    """Against the previous valid value; the first is no edge."""
+    state = (reducers or default_reducers()).get(reducer)(run, x, initial)
+    if reducer == "count" and initial is None:
+        state = F.when(F.count(x).over(run) > 0, state)
+    return _with_missing(x, state, missing, policy)
+
+
+def edge_detect(w, x, mode="rising", missing="error", policy=RAISE):
+    """Against the previous valid value; the first is no edge, and a skipped input is none."""
     was = F.last(x, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
     found = {"rising": ~was & x, "falling": was & ~x, "change": was != x}[mode]
-    return F.coalesce(found, F.lit(False))
+    return _with_missing(x, F.coalesce(found, F.lit(False)), missing, policy)
 
 
 def epochs(frame: DataFrame, w: WindowSpec, reset: str, out: str = "epoch") -> DataFrame:
@@ -160,44 +200,63 @@ KINDS_AND = ["accept", "unknown", "reject", "block"]
 KINDS_ANY = ["reject", "unknown", "accept", "block"]
 
 
+def _reasons() -> Column:
+    """All reasons of a group: codes of a closed set, so the set stays small, however many rows there are."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))).alias("reasons")
+
+
 def _monoid(order):
-    def run(rows: DataFrame, keys: list[str]) -> DataFrame:
-        """The kind of highest priority, and all reasons; partial aggregation applies to both."""
+    def run(rows: DataFrame, keys: list[str], score: str | None = None) -> DataFrame:
+        """The kind of highest priority, and all reasons; with a score column, the largest score. Partial aggregation applies to all."""
         level = F.array_position(F.array(*map(F.lit, order)), F.col("kind"))
-        folded = rows.groupBy(*keys).agg(F.max(level).alias("_level"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))).alias("reasons"))
-        return folded.select(*keys, F.element_at(F.array(*map(F.lit, order)), F.col("_level").cast("int")).alias("kind"), "reasons")
+        folded = rows.groupBy(*keys).agg(F.max(level).alias("_level"), _reasons(), *([F.max(score).alias("score")] if score else []))
+        return folded.select(*keys, F.element_at(F.array(*map(F.lit, order)), F.col("_level").cast("int")).alias("kind"), "reasons", *(["score"] if score else []))
 
     return run
 
 
 def _policy(kind: str, reason: str):
-    def run(rows: DataFrame, keys: list[str]) -> DataFrame:
-        folded, open_ = _monoid(KINDS_AND)(rows, keys), F.col("kind") == "unknown"
+    def run(rows: DataFrame, keys: list[str], score: str | None = None) -> DataFrame:
+        folded, open_ = _monoid(KINDS_AND)(rows, keys, score), F.col("kind") == "unknown"
         reasons = F.when(open_, merged_reasons(F.col("reasons"), F.array(F.lit(reason)))).otherwise(F.col("reasons"))
-        return folded.select(*keys, F.when(open_, kind).otherwise(F.col("kind")).alias("kind"), reasons.alias("reasons"))
+        return folded.select(*keys, F.when(open_, kind).otherwise(F.col("kind")).alias("kind"), reasons.alias("reasons"), *(["score"] if score else []))
 
     return run
 
 
 def _votes(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(*[F.count_if(F.col("kind") == k).alias(f"_{k}") for k in KINDS_AND])
+    return rows.groupBy(*keys).agg(*[F.count_if(F.col("kind") == k).alias(f"_{k}") for k in KINDS_AND], _reasons())
 
 
 def majority(rows: DataFrame, keys: list[str]) -> DataFrame:
     yes, no = F.col("_accept"), F.col("_reject")
-    return _votes(rows, keys).select(*keys, F.when(F.col("_block") > 0, "block").when(yes > no, "accept").when(no > yes, "reject").otherwise("unknown").alias("kind"))
+    return _votes(rows, keys).select(*keys, F.when(F.col("_block") > 0, "block").when(yes > no, "accept").when(no > yes, "reject").otherwise("unknown").alias("kind"), "reasons")
 
 
-def quorum(rows: DataFrame, keys: list[str], accept_quorum: int, min_known: int) -> DataFrame:
+def quorum(rows: DataFrame, keys: list[str], accept_quorum: int, min_known: int | None = None) -> DataFrame:
+    """accept from ``accept_quorum`` votes on; else reject if ``min_known`` is given and so many are known."""
+    if not isinstance(accept_quorum, int) or accept_quorum <= 0 or (min_known is not None and (not isinstance(min_known, int) or min_known < accept_quorum)):
+        raise ValueError("DECISION_INVALID_PARAMS")
     yes, no = F.col("_accept"), F.col("_reject")
-    return _votes(rows, keys).select(*keys, F.when(F.col("_block") > 0, "block").when(yes >= accept_quorum, "accept").when(yes + no >= min_known, "reject").otherwise("unknown").alias("kind"))
-
-
-def weighted_vote(rows: DataFrame, keys: list[str], weight: str = "weight", score: str | None = None) -> DataFrame:
-    size = F.col(weight) * (F.col(score) if score else F.lit(1.0))
-    total = F.sum(F.when(F.col("kind") == "accept", size).when(F.col("kind") == "reject", -size).otherwise(0.0))
-    folded = rows.groupBy(*keys).agg(F.count_if(F.col("kind") == "block").alias("_block"), total.alias("_total"))
-    return folded.select(*keys, F.when(F.col("_block") > 0, "block").when(F.col("_total") > 0, "accept").when(F.col("_total") < 0, "reject").otherwise("unknown").alias("kind"))
+    known = (yes + no >= min_known) if min_known is not None else F.lit(False)
+    return _votes(rows, keys).select(*keys, F.when(F.col("_block") > 0, "block").when(yes >= accept_quorum, "accept").when(known, "reject").otherwise("unknown").alias("kind"), "reasons")
+
+
+def weighted_vote(rows: DataFrame, keys: list[str], weight: str = "weight", score: str | None = None, missing_weight: str = "error", missing_score: str = "error", policy: str = RAISE) -> DataFrame:
+    """The sign of the accepted less the rejected weights (times score, in [0, 1], if given).
+
+    missing_weight: error or use_one; missing_score: error, abstain (0) or use_default (1). Only accept and reject rows are looked at."""
+    if missing_weight not in ("error", "use_one") or missing_score not in ("error", "abstain", "use_default"):
+        raise ValueError("DECISION_INVALID_PARAMS")
+    w = F.coalesce(F.col(weight), F.lit(1)) if missing_weight == "use_one" else guard(F.col(weight), F.col(weight).isNull(), "DECISION_MISSING_WEIGHT", policy)
+    size = w
+    if score:
+        s = F.col(score)
+        s = guard(s, s.isNull(), "DECISION_MISSING_SCORE", policy) if missing_score == "error" else F.coalesce(s, F.lit(0 if missing_score == "abstain" else 1))
+        size = w * guard(s, (s < 0) | (s > 1), "DECISION_SCORE_OUT_OF_RANGE", policy)
+    total = F.sum(F.when(F.col("kind") == "accept", size).when(F.col("kind") == "reject", -size))
+    folded = rows.groupBy(*keys).agg(F.count_if(F.col("kind") == "block").alias("_block"), F.coalesce(total, F.lit(0)).alias("_total"), _reasons())
+    return folded.select(*keys, F.when(F.col("_block") > 0, "block").when(F.col("_total") > 0, "accept").when(F.col("_total") < 0, "reject").otherwise("unknown").alias("kind"), "reasons")
 
 
 FOLDED = {

@@ -70,6 +70,15 @@ def bottom_k(panel: DataFrame, k: int, missing_policy: str = "error_on_missing",
     return _select(panel, k, False, missing_policy, allow_smaller)
 
 
+def top_bottom(panel: DataFrame, k: int, missing_policy: str = "error_on_missing") -> DataFrame:
+    """The k largest long and the k smallest others short, from one exchange."""
+    if k < 1:
+        raise ValueError("PANEL_K_INVALID")
+    rows = active(panel, missing_policy).withColumn("_top", F.row_number().over(at().orderBy(F.desc("value"), "symbol"))).withColumn("_low", F.row_number().over(at().orderBy("value", "symbol")))
+    side = F.when(F.col("_top") <= k, "long").when(F.col("_low") <= k, "short")
+    return rows.select("ts", "symbol", side.isNotNull().alias("selected"), side.alias("side"), F.col("value").alias("score"), "in_universe")
+
+
 def _grouped(rows: DataFrame, groups: DataFrame, missing_group_policy: str) -> DataFrame:
     """groups: symbol, grp, one row for each symbol; Spark broadcasts it if it is small."""
     joined = rows.join(groups.select("symbol", "grp"), "symbol", "left")

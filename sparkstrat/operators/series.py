@@ -97,23 +97,24 @@ def regression(part: str):
 
 
 def slope(w, x, window):
-    """Least-squares slope against 0..n-1: a fixed weighted sum of lags, so no window stands over another."""
+    """Least-squares slope against 0..n-1: a weighted sum over the frame's values, whatever its length in one expression."""
     if window < 2:
         raise ValueError("WINDOW_INVALID")
     mid = (window - 1) / 2
-    total = sum((F.lag(x, window - 1 - k).over(w) * (k - mid) for k in range(window)), F.lit(0.0))
-    return total / sum((k - mid) ** 2 for k in range(window))
+    held = F.collect_list(x).over(_trailing(w, window))
+    total = F.aggregate(F.transform(held, lambda v, k: v * (k - mid)), F.lit(0.0), lambda a, v: a + v)
+    return F.when(F.size(held) == window, total / sum((k - mid) ** 2 for k in range(window)))
 
 
 def forward_fill(w, x):
     return F.last(x, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
 
 
-def score_zscore(w, x):
-    """Whole-series population z-score."""
-    every = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    sd = F.stddev_pop(x).over(every)
-    return F.when(sd == 0, 0.0).otherwise((x - F.avg(x).over(every)) / sd)
+def score_zscore(frame: DataFrame, keys: list[str], x: str, out: str = "value") -> DataFrame:
+    """Whole-series population z-score: a key's moments are aggregated before the exchange and joined back."""
+    sd, mean = F.col("_sd"), F.col("_mean")
+    moments = frame.groupBy(*keys).agg(F.stddev_pop(x).alias("_sd"), F.avg(x).alias("_mean"))
+    return frame.join(moments, keys).withColumn(out, F.when(sd == 0, 0.0).otherwise((F.col(x) - mean) / sd)).drop("_sd", "_mean")
 
 
 def true_range(w, high, low, close, policy=RAISE):
@@ -146,7 +147,6 @@ SERIES = {
     "core.indicator.beta": regression("beta"),
     "core.indicator.residual": regression("residual"),
     "core.factor.beta_neutral_signal": regression("residual"),
-    "core.score.zscore": score_zscore,
 }
 
 
@@ -183,4 +183,4 @@ def drop_missing(frame: DataFrame, column: str) -> DataFrame:
     return frame.where(F.col(column).isNotNull())
 
 
-FRAMES = {"core.time.session_filter": session_filter, "core.align.inner_join": inner_join, "core.align.left_join": left_join, "core.align.drop_missing": drop_missing, "core.indicator.volatility": volatility}
+FRAMES = {"core.score.zscore": score_zscore, "core.time.session_filter": session_filter, "core.align.inner_join": inner_join, "core.align.left_join": left_join, "core.align.drop_missing": drop_missing, "core.indicator.volatility": volatility}

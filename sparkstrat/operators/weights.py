@@ -44,6 +44,10 @@ def cap_per_symbol(weights: DataFrame, max_abs_weight: float) -> DataFrame:
 def market_neutral(weights: DataFrame, target_gross: float = 1.0, target_net: float = 0.0, zero_gross_policy: str = "keep_zero") -> DataFrame:
     if target_net != 0:
         raise ValueError("WEIGHT_TARGET_NET_UNSUPPORTED")
+    if target_gross < 0:
+        raise ValueError("WEIGHT_TARGET_GROSS_INVALID")
+    active = F.count(_active(F.lit(1))).over(at())
+    weights = weights.withColumn("weight", guard(F.col("weight"), active == 0, "WEIGHT_EMPTY_UNIVERSE"))
     centred = weights.withColumn("weight", F.when(F.col("in_universe"), F.col("weight") - F.avg(_active(F.col("weight"))).over(at())).otherwise(F.col("weight")))
     return normalize_gross(centred, target_gross, zero_gross_policy)
 
