@@ -6,6 +6,8 @@ totals by month and nation. Decisions and machine events: from event types.
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,7 +68,7 @@ def _row(token: str, build, sql: str, kind: str = "double", where: str | None =
         rows = rows.where(where) if where else rows
         return rows.select("event_id", _typed(build(), kind).alias("value"))
 
-    _add("op_" + token.replace("core.", "").replace(".", "_"), run, f"WITH {EV} SELECT event_id, {_typed_sql(sql, kind)} AS value FROM ev" + (f" WHERE {where}" if where else ""))
+    _add("op_" + token.removeprefix("core.").replace(".", "_"), run, f"WITH {EV} SELECT event_id, {_typed_sql(sql, kind)} AS value FROM ev" + (f" WHERE {where}" if where else ""))
 
 
 x, y = (lambda: F.col("x")), (lambda: F.col("y"))
@@ -88,7 +90,8 @@ def _scalars() -> None:
     _row("core.math.clip", lambda: s["core.math.clip"](x(), 20.0, 80.0), "least(greatest(x, 20.0), 80.0)")
     _row("core.math.floor", lambda: s["core.math.floor"](x()), "floor(x)", "long")
     _row("core.math.ceil", lambda: s["core.math.ceil"](x()), "ceil(x)", "long")
-    _row("core.math.round", lambda: s["core.math.round"](x() + 0.001, 1), "round(x + 0.001, 1)")
+    _row("core.math.round", lambda: s["core.math.round"](F.floor(x()) + F.lit(0.5)), "round_even(floor(x) + 0.5, 0)")  # ties only
+    _add("op_math_round_digits", lambda r, d: events(r, d).select("event_id", _r(s["core.math.round"](F.floor(x()) / 8, 2)).alias("value")), f"WITH {EV} SELECT event_id, {_rs('round_even(floor(x) / 8, 2)')} AS value FROM ev")
     _row("core.math.sign", lambda: s["core.math.sign"](x() - y()), "sign(x - y)", "long")
     _row("core.math.isnan", lambda: s["core.math.isnan"](x()), "isnan(x)", "bool")
     _row("core.math.isfinite", lambda: s["core.math.isfinite"](x()), "isfinite(x)", "bool")
@@ -131,7 +134,7 @@ def _series(token: str, sql: str, kind: str = "double", outputs: dict[str, str]
     columns = outputs or {"value": sql}
     inner = ", ".join(f"{v} AS {k}" for k, v in columns.items())
     outer = ", ".join(f"{_typed_sql(k, kind)} AS {k}" for k in columns)
-    _add("op_" + token.replace("core.", "").replace(".", "_"), run, f"WITH {EV}, s AS (SELECT *, row_number() OVER ({ORDER}) AS n FROM ev), f AS (SELECT event_id, {inner} FROM s) SELECT event_id, {outer} FROM f WHERE {next(iter(columns))} IS NOT NULL")
+    _add("op_" + token.removeprefix("core.").replace(".", "_"), run, f"WITH {EV}, s AS (SELECT *, row_number() OVER ({ORDER}) AS n FROM ev), f AS (SELECT event_id, {inner} FROM s) SELECT event_id, {outer} FROM f WHERE {next(iter(columns))} IS NOT NULL")
 
 
 def _frame(n: int) -> str:
@@ -170,7 +173,8 @@ def _all_series() -> None:
     _series("core.indicator.beta", f"CASE WHEN {full} THEN regr_slope(x, y) OVER {w} END", second=True, window=n)
     for token in ("core.indicator.residual", "core.factor.beta_neutral_signal"):
         _series(token, f"CASE WHEN {full} THEN x - (regr_intercept(x, y) OVER {w} + regr_slope(x, y) OVER {w} * y) END", second=True, window=n)
-    _series("core.score.zscore", "CASE WHEN stddev_pop(x) OVER (PARTITION BY user_id) = 0 THEN 0 ELSE (x - avg(x) OVER (PARTITION BY user_id)) / stddev_pop(x) OVER (PARTITION BY user_id) END")
+    mean, sd = "avg(x) OVER (PARTITION BY user_id)", "stddev_pop(x) OVER (PARTITION BY user_id)"
+    _add("op_score_zscore", lambda s, d: series.score_zscore(events(s, d), ["user_id"], "x").select("event_id", _r(F.col("value")).alias("value")), f"WITH {EV} SELECT event_id, {_rs(f'CASE WHEN {sd} = 0 THEN 0 ELSE (x - {mean}) / {sd} END')} AS value FROM ev")
 
     def sparse(rows):
         return rows.withColumn("z", F.when(F.col("event_id") % 3 == 0, F.col("x")))
@@ -333,9 +337,9 @@ def _all_decisions() -> None:
     for name, to in (("strict_and", "reject"), ("permissive_and", "accept")):
         extra = f"DECISION_UNKNOWN_AS_{to.upper()}"
         folded(name, f"CASE p WHEN 0 THEN 'accept' WHEN 1 THEN '{to}' WHEN 2 THEN 'reject' ELSE 'block' END", f"CASE WHEN p = 1 THEN array_to_string(list_sort(list_append(string_split(reasons, ','), '{extra}')), ',') ELSE reasons END")
-    folded("majority", "CASE WHEN b > 0 THEN 'block' WHEN a > r THEN 'accept' WHEN r > a THEN 'reject' ELSE 'unknown' END", False)
-    folded("quorum", "CASE WHEN b > 0 THEN 'block' WHEN a >= 2 THEN 'accept' WHEN a + r >= 2 THEN 'reject' ELSE 'unknown' END", False, accept_quorum=2, min_known=2)
-    folded("weighted_vote", "CASE WHEN b > 0 THEN 'block' WHEN v > 0 THEN 'accept' WHEN v < 0 THEN 'reject' ELSE 'unknown' END", False, weight="value")
+    folded("majority", "CASE WHEN b > 0 THEN 'block' WHEN a > r THEN 'accept' WHEN r > a THEN 'reject' ELSE 'unknown' END", "reasons")
+    folded("quorum", "CASE WHEN b > 0 THEN 'block' WHEN a >= 2 THEN 'accept' WHEN a + r >= 2 THEN 'reject' ELSE 'unknown' END", "reasons", accept_quorum=2, min_known=2)
+    folded("weighted_vote", "CASE WHEN b > 0 THEN 'block' WHEN v > 0 THEN 'accept' WHEN v < 0 THEN 'reject' ELSE 'unknown' END", "reasons", weight="value")
 
 
 # Panels.
@@ -378,7 +382,7 @@ def _all_panels() -> None:
     grouped = "f AS (SELECT ts, symbol, value - avg(value) OVER (PARTITION BY ts, grp) AS value FROM pn WHERE u)"
     for name in ("panel_group_demean", "panel_neutralize_group"):
         _panel(f"op_{name}", lambda s, d: panel.group_demean(p(s, d), nation_groups(s, d)), grouped)
-    _panel("op_factor_sector_neutral_rank", lambda s, d: _rounded_rank(p(s, d), nation_groups(s, d)), grouped.replace("f AS", "g AS") + ", f AS (SELECT ts, symbol, row_number() OVER (PARTITION BY ts ORDER BY round(value, 4) DESC, symbol) AS value FROM g)")
+    _panel("op_factor_sector_neutral_rank", lambda s, d: panel.sector_neutral_rank(p(s, d), nation_groups(s, d)), grouped.replace("f AS", "g AS") + ", f AS (SELECT ts, symbol, row_number() OVER (PARTITION BY ts ORDER BY value DESC, symbol) AS value FROM g)")
     for name, order, sign in (("top_k", "DESC", panel.top_k), ("bottom_k", "ASC", panel.bottom_k)):
         sql = f"f AS (SELECT ts, symbol, row_number() OVER (PARTITION BY ts ORDER BY value {order}, symbol) <= 5 AS selected FROM pn WHERE u)"
         for prefix in ("panel", "selection", "signal_rank"):
@@ -435,16 +439,9 @@ def _all_panels() -> None:
     _panel("case_residual_mean_reversion", reversion, back, "double", "weight")
 
 
-def _rounded_rank(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    return panel.rank(panel.group_demean(rows, groups).withColumn("value", F.round("value", 4)))
-
-
 def flagship_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five largest nations of a month long and the five smallest of the others short, market neutral."""
-    rows = panel_nation(spark, sf_dir)
-    long, short = panel.top_k(rows, 5).where("selected"), panel.bottom_k(rows, 5).where("selected")
-    short = short.join(long.select("ts", "symbol"), ["ts", "symbol"], "left_anti")
-    return weights.market_neutral(weights.to_weights(long.unionByName(short), "equal_long_short"))
+    return weights.market_neutral(weights.to_weights(panel.top_bottom(panel_nation(spark, sf_dir), 5), "equal_long_short"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -462,6 +459,10 @@ def _build() -> None:
     _all_folds()
     _all_decisions()
     _all_panels()
+    from . import cases
+
+    for name, (build, sql) in cases.cases(sys.modules[__name__]).items():
+        _add(name, build, sql)
     lower = f"avg(x) OVER {_frame(20)} - 2 * stddev_pop(x) OVER {_frame(20)}"
     _add("case_bollinger_mean_reversion", flagship, f"WITH {EV}, f AS (SELECT event_id, user_id, x, {_rolled(lower, 20)} AS lower FROM ev) SELECT event_id, user_id, CASE WHEN x < lower THEN 'accept' ELSE 'reject' END AS kind, CASE WHEN x < lower THEN 'DECISION_TRUE' ELSE 'DECISION_FALSE' END AS reasons FROM f WHERE lower IS NOT NULL")
 
