@@ -167,7 +167,7 @@ def cases(catalogue) -> dict:
 
     recursive = f"""s AS (SELECT *, row_number() OVER ({order}) AS n FROM ev),
 r AS (SELECT user_id, event_id, n, x AS v FROM s WHERE n = 1 UNION ALL SELECT s.user_id, s.event_id, s.n, r.v + 0.37 * (s.x - r.v) FROM r JOIN s ON s.user_id = r.user_id AND s.n = r.n + 1)"""
-    add("case_custom_token_level", lambda s, d: _kalman(catalogue.events(s, d)).select("event_id", rounded(F.round("filtered", 4)).alias("value")), f"WITH RECURSIVE {ev}, {recursive} SELECT event_id, {sql_round("round(v, 4)")} AS value FROM r")
+    add("case_custom_token_level", lambda s, d: _kalman(catalogue.events(s, d)).select("event_id", rounded(F.round("filtered", 4)).alias("value")), f"WITH RECURSIVE {ev}, {recursive} SELECT event_id, {sql_round("round(round(v, 6), 4)")} AS value FROM r")
 
     two = f"""s AS (SELECT *, row_number() OVER ({order}) AS n FROM ev),
 r AS (SELECT user_id, event_id, n, x AS f, x AS w FROM s WHERE n = 1 UNION ALL SELECT s.user_id, s.event_id, s.n, s.x / 2 + r.f / 2, s.x * 0.2 + r.w * 0.8 FROM r JOIN s ON s.user_id = r.user_id AND s.n = r.n + 1)"""
