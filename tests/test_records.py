@@ -217,3 +217,49 @@ def test_custom_tokens(spark, tmp_path):
     for found, code in (({"filtered": [1.0]}, "LENGTH"), ({"filtered": [True, 1.0]}, "TYPE"), ([], "PORTS")):
         with pytest.raises(ValueError, match=code):
             custom.checked_outputs(found, token.outputs, 2)
+
+
+WORKFLOW = """
+task:
+  model: {class: LGBModel, module_path: m.gbdt, kwargs: {loss: mse}}
+  dataset:
+    class: DatasetH
+    kwargs:
+      handler: {class: Alpha158, kwargs: {learn_processors: [{class: DropnaLabel}, {class: OwnProcessor}]}}
+      segments: {train: [2010-01-01, 2012-01-01]}
+  record:
+    - {class: SignalRecord}
+    - {class: PortAnaRecord, kwargs: {config: {strategy: {class: TopkDropoutStrategy, kwargs: {topk: 5}}, backtest: {account: 100}}}}
+"""
+
+
+def test_workflows(tmp_path):
+    from sparkstrat.records import workflows
+
+    (tmp_path / "flow.yaml").write_text(WORKFLOW)
+    found = workflows.import_file(str(tmp_path / "flow.yaml"))
+    assert [n["id"] for n in found["strategy"]["nodes"]] == ["dataset", "model", "record_1", "record_2", "strategy", "backtest_config"]
+    assert found["metadata"]["classification"] == "partially_supported" and found["metadata"]["unsupported"] == [{"kind": "custom_processor", "name": "OwnProcessor"}]
+    assert "feature.alpha158_record" in found["metadata"]["tokens"] and graphs.from_mapping(found).node("backtest_config").inputs == {"strategy": "strategy.record"}
+    assert workflows.import_workflow({})["metadata"]["classification"] == "non_goal"
+    assert workflows.import_workflow({"model": {"class": "MyModel"}})["metadata"]["unsupported"] == [{"kind": "custom_model", "name": "MyModel"}]
+    assert workflows.import_workflow({"model": {"class": "XGBModel"}})["metadata"]["classification"] == "supported"
+
+
+def test_coverage(spark, tmp_path):
+    from sparkstrat.records import coverage
+
+    row = lambda i, c, w, **more: {"id": i, "expected_classification": c, "market_weight": {"final": w}, **more}
+    matrix = {"coverage_policy": {"custom_token_discount": {"value": 0.25}}, "patterns": [
+        row("a", "supported", 6, false_supported={"mechanical_status": "pass", "semantic_status": "fail"}), row("b", "supported", 2), row("c", "custom_token_required", 4, gaps={"missing_tokens": ["x", "y"]}),
+        row("d", "partially_supported", 3, gaps={"missing_tokens": ["x"], "kernel_gaps": ["k"]}), row("e", "non_goal", 5), row("f", "supported", 9, benchmark_group="dogfood"), row("g", "supported", 9, status="retired"),
+    ]}
+    (tmp_path / "m.yaml").write_text(json.dumps(matrix))
+    patterns, discount = coverage.read_matrix(spark, str(tmp_path / "m.yaml"))
+    assert {r.classification: (r.patterns, r.weight) for r in coverage.by_class(patterns).collect()} == {"supported": (2, 8), "custom_token_required": (1, 4), "partially_supported": (1, 3), "non_goal": (1, 5)}
+    found = coverage.metrics(patterns, discount).first().asDict()
+    assert found == {
+        "frontier_patterns": 5, "total_weight": 20, "direct_builtin_coverage": 0.3, "routable_record_coverage_raw": 0.75, "routable_record_coverage_discounted": 0.6, "custom_token_route_share": 0.2667,
+        "false_supported_rate_mechanical": 0.0, "false_supported_rate_semantic": 0.5, "false_supported_rate_boundary": 0.0, "kernel_gap_count": 1, "token_bloat_index": 0.4,
+    }
+    assert coverage.metrics(patterns.limit(0)).first().total_weight == 0
