@@ -42,13 +42,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
+def written(df: DataFrame, compression: str = "zstd", by: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
 
-    The files go when the driver's Python ends."""
+    by: a column whose values are folders, so that a filter on it reads its part only. The files go when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkstrat/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).option("compression", compression).parquet(path)
     if not _WRITTEN:
         atexit.register(lambda: [_remove(spark, p) for p in _WRITTEN])
     _WRITTEN.add(path)
@@ -103,6 +103,16 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return a.join(b, on, how).drop("_mixed", "_other", *[f"_r_{k}" for k in keys])
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """The rows as one struct, ``_doc``, so that no column of theirs clashes with those that an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+
+
+def unboxed(rows: DataFrame, columns: list[str], **other: Column) -> DataFrame:
+    """The columns of the boxed rows; other: what stands in the place of some."""
+    return rows.select(*[other.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in columns])
+
+
 def arrow_bytes(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes, with null as empty."""
     import pyarrow as pa

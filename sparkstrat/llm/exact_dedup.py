@@ -19,7 +19,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, spread_join, written
+from .common import arrow_bytes, boxed, spread_join, unboxed, written
 
 BLOCK_BYTES = 16384
 _SPACES = re.compile(rb"[\x20\x09-\x0d]{2,}|[\x09-\x0d]")
@@ -104,6 +104,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows whose text another row keeps; same columns."""
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()))  # the numbers must not change when a scan is repeated
-    stay = exact_groups(numbered, id_col, text_col, block_bytes, "_row").where("kept").select(F.col("row").alias("_row"))
-    return numbered.join(stay, "_row", "left_semi").select(*docs.columns)
+    numbered = written(boxed(docs).withColumn("_row", F.monotonically_increasing_id()))  # the numbers must not change when a scan is repeated
+    stay = exact_groups(numbered, f"_doc.`{id_col}`", f"_doc.`{text_col}`", block_bytes, "_row").where("kept").select(F.col("row").alias("_row"))
+    return unboxed(numbered.join(stay, "_row", "left_semi"), docs.columns)

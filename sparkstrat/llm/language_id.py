@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import boxed, slices, unboxed
 
 BUCKETS = 1 << 16
 SAMPLE = 2000
@@ -154,5 +154,6 @@ def keep_known(docs: DataFrame, model, text_col: str = "text", least: float = 0.
                 start, held = i + 1, 0
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    verdict = judged(F.col(text_col).cast("string"))
-    return docs.withColumn("_judged", verdict).where((F.col("_judged.lang_pred") != "und") & (F.col("_judged.score") >= least)).drop("_judged")
+    verdict = judged(F.col(f"_doc.`{text_col}`").cast("string"))
+    rows = boxed(docs).withColumn("_judged", verdict)
+    return unboxed(rows.where((F.col("_judged.lang_pred") != "und") & (F.col("_judged.score") >= least)), docs.columns)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_join, written
+from .common import boxed, spread_join, unboxed, written
 
 MAX_PERCENT = 5
 MIN_DOCS = 20
@@ -104,9 +104,10 @@ def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_percent: float = MAX_PERCENT, min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents that are kept, without their removed lines; same columns."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    box = boxed(docs)
+    text = F.coalesce(F.col(f"_doc.`{text_col}`").cast("string"), F.lit(""))
     verdict = line_quality(docs, id_col, text_col, host_col, max_percent, min_docs).where("kept").select("doc_id", "host", "body", "gone").dropDuplicates(["doc_id", "host", "body"])
-    key = F.struct(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.xxhash64(text).alias("body"))
-    held = spread_join(docs.withColumn("_key", key), verdict.select(F.struct("doc_id", "host", "body").alias("_key"), F.col("gone").alias("_gone")), ["_key"])
+    key = F.struct(F.col(f"_doc.`{id_col}`").cast("long").alias("doc_id"), F.col(f"_doc.`{host_col}`").cast("string").alias("host"), F.xxhash64(text).alias("body"))
+    held = spread_join(box.withColumn("_key", key), verdict.select(F.struct("doc_id", "host", "body").alias("_key"), F.col("gone").alias("_gone")), ["_key"])
     stay = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_gone", F.xxhash64(normal_line(x)))), "\n")
-    return held.select(*[stay.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return unboxed(held, docs.columns, **{text_col: stay})

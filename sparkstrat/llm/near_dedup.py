@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, slices, spread_join, written
+from .common import arrow_bytes, boxed, slices, spread_join, unboxed, written
 from .components import components
 
 WORDS = 5
@@ -247,6 +247,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group of near duplicates; same columns."""
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()))  # the numbers must not change when a scan is repeated
-    stay = near_groups(numbered, id_col, text_col, percent, row="_row").where("kept").select(F.col("row").alias("_row"))
-    return numbered.join(stay, "_row", "left_semi").select(*docs.columns)
+    numbered = written(boxed(docs).withColumn("_row", F.monotonically_increasing_id()))  # the numbers must not change when a scan is repeated
+    stay = near_groups(numbered, f"_doc.`{id_col}`", f"_doc.`{text_col}`", percent, row="_row").where("kept").select(F.col("row").alias("_row"))
+    return unboxed(numbered.join(stay, "_row", "left_semi"), docs.columns)

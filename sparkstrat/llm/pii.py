@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_join, written
+from .common import boxed, spread_join, unboxed, written
 
 REACH = 64
 SUPPORT = 3
@@ -181,13 +181,15 @@ def term_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return marks.groupBy("doc_id", "body").agg(F.collect_set(F.struct("term", "disclosure")).alias("added"))  # as many as the document has terms
 
 
-def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with columns base_spans, secret_spans, term_spans and sanitised in a struct ``pii``."""
+def _annotated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The boxed rows with ``pii``."""
     added = term_marks(docs, id_col, text_col)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.withColumn("_key", F.struct(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("body")))
-    joined = spread_join(base, added.select(F.struct("doc_id", "body").alias("_key"), F.col("added").alias("_added")), ["_key"], "left")
+    given = F.col(f"_doc.`{text_col}`").cast("string")
+    text = F.coalesce(given, F.lit(""))
     plain = F.transform(protected(text), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"), F.lit(None).cast("double").alias("disclosure")))
+    # The spans are found below the exchange, so that each use of them above is of a column, and not of the search again.
+    base = boxed(docs).withColumn("_key", F.struct(F.col(f"_doc.`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("body"))).withColumn("_base", plain)
+    joined = spread_join(base, added.select(F.struct("doc_id", "body").alias("_key"), F.col("added").alias("_added")), ["_key"], "left")
     names = F.array(*[F.lit(f"[{x.upper()}]") for x in KINDS])
     put = lambda s: F.when(F.coalesce(s["disclosure"] >= REMOVE, F.lit(False)), F.lit("")).otherwise(F.get(names, s["kind"]))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string,disclosure:double>>")
@@ -197,12 +199,18 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"), words[F.lower(s["value"])].alias("disclosure")))
 
     terms = F.when(F.col("_added").isNull(), none).otherwise(_let(F.map_from_entries("_added"), marked))
-    pii = joined.withColumn("_base", plain).withColumn("_terms", terms)
-    clean = F.when(F.col(text_col).isNotNull(), replaced(text, F.array_sort(F.concat("_base", "_terms")), put))
-    return pii.withColumn("pii", F.struct(F.filter("_base", lambda s: s["kind"] < SECRETS).alias("base_spans"), F.filter("_base", lambda s: s["kind"] == SECRETS).alias("secret_spans"), F.col("_terms").alias("term_spans"), clean.alias("sanitised"))).drop("_key", "_added", "_terms", "_base")
+    pii = joined.withColumn("_terms", terms)
+    clean = F.when(given.isNotNull(), replaced(text, F.array_sort(F.concat("_base", "_terms")), put))
+    kind = lambda test: F.filter("_base", lambda s: test(s["kind"]))
+    return pii.select("_doc", F.struct(kind(lambda k: k < SECRETS).alias("base_spans"), kind(lambda k: k == SECRETS).alias("secret_spans"), F.col("_terms").alias("term_spans"), clean.alias("sanitised")).alias("pii"))
+
+
+def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with columns base_spans, secret_spans, term_spans and sanitised in a struct ``pii``, which replaces a column of that name."""
+    marked = _annotated(docs, id_col, text_col)
+    return marked.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c.lower() != "pii"], "pii")
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the sanitised text in ``text_col``; same columns."""
-    marked = annotate(docs, id_col, text_col)
-    return marked.select(*[F.col("pii.sanitised").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return unboxed(_annotated(docs, id_col, text_col), docs.columns, **{text_col: F.col("pii.sanitised")})

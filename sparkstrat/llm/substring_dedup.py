@@ -9,7 +9,8 @@ segment. Spark groups the pairs of hashes of strings of growing lengths, and dro
 2. anchor and segment (its windows' whole bytes). A segment that occurs earlier is removed; if all segments of an anchor are
    equal, its first one is done as well.
 3. 83 bytes: the part that the windows of a quarter of the first segments of each kind share. Unique parts are done.
-4. LENGTH bytes: windows, each known by a pair of ranks; those that occur earlier are removed.
+4. LENGTH bytes: windows, each known by a pair of ranks; those that occur earlier are removed. Windows are taken in ``SLICES`` parts
+   by their shared part, one after another, and each step drops what the one before it left, so that steps do not add up on disk.
 
 Ranks are 64-bit hashes; a verdict rests on a pair of them (128 bits). Only small rows are shuffled: per segment, not per byte.
 
@@ -34,6 +35,7 @@ GRAM = 32
 QUARTER = 18
 PART = 1 << 20
 BITS = 1 << 27
+SLICES = 4
 _CORE = LENGTH - QUARTER + 1
 _FIRST = -(1 << 63)
 _POWERS: list[tuple[np.ndarray, np.ndarray]] = []
@@ -385,21 +387,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     later = [alike, mixed.where("doc > first or again = 1")]
     doubt = mixed.where("doc = first and again = 0").groupBy("doc", "body").agg(F.collect_list(F.struct("start", "last", "gram")).alias("doubt"))  # as many as the document has segments
     rows = lambda which: source.withColumn("doc_id", F.col("doc")).mapInArrow(_sure(_documents(which), True), _PACKED)
-    cores = written(spread_join(rows(mixed.where("doc = first and again = 0")).select("doc", "body", "packed"), doubt, ["doc", "body"]).select("doc", "body", "packed", "doubt").mapInArrow(_cores, _CORES))
+    cores = written(spread_join(rows(mixed.where("doc = first and again = 0")).select("doc", "body", "packed"), doubt, ["doc", "body"]).select("doc", "body", "packed", "doubt").mapInArrow(_cores, _CORES).withColumn("slice", F.coalesce(F.pmod("core", F.lit(SLICES)), F.lit(0)).cast("int")), by="slice")
     sweep(spark)
     later.append(cores.where("core is null").select("doc", "body", "starts").mapInArrow(_single, "doc long, body long, start int, last int"))
-    common = cores.where("core is not null").groupBy("gram", "core", "core2").agg(F.count("*").alias("n")).where("n > 1").select("gram", "core", "core2")
-    windows = written(spread_join(cores.where("core is not null"), common, ["gram", "core", "core2"]).select("doc", "body", "core", "starts", "names").mapInArrow(_unrolled, "doc long, body long, core long, start int, name long"))
-    sweep(spark)
-    earliest = windows.groupBy("core", "name").agg(F.min("doc").alias("first"), F.max("doc").alias("final")).where("first <> final").select("core", "name", "first")
-    last = written(spread_join(windows, earliest, ["core", "name"]).where("doc > first").select("doc", "body", "start").withColumn("last", F.col("start")))
-    drop(windows)
-    later.append(last)
+    lasts = []
+    for k in range(SLICES):  # one after another, so that the rows of windows take a quarter of the disk
+        mine = cores.where((F.col("slice") == k) & F.col("core").isNotNull())
+        common = mine.groupBy("gram", "core", "core2").agg(F.count("*").alias("n")).where("n > 1").select("gram", "core", "core2")
+        windows = written(spread_join(mine, common, ["gram", "core", "core2"]).select("doc", "body", "core", "starts", "names").mapInArrow(_unrolled, "doc long, body long, core long, start int, name long"))
+        earliest = windows.groupBy("core", "name").agg(F.min("doc").alias("first"), F.max("doc").alias("final")).where("first <> final").select("core", "name", "first")
+        lasts.append(written(spread_join(windows, earliest, ["core", "name"]).where("doc > first").select("doc", "body", "start").withColumn("last", F.col("start"))))
+        drop(windows)
+    later += lasts
     runs = later[0].select("doc", "body", "start", "last")
     for x in later[1:]:
         runs = runs.unionByName(x.select("doc", "body", "start", "last"))
     runs = written(runs.groupBy("doc", "body").agg(F.collect_set(F.struct("start", "last")).alias("runs")))  # as many as the document has windows
-    for x in (cores, mixed, alike, last):
+    for x in (cores, mixed, alike, *lasts):
         drop(x)
     touched = _documents(runs)
     clean = base.mapInArrow(_sure(touched, False), _RESULT)

@@ -293,3 +293,19 @@ def test_flat_encoding_equals_the_library():
     found = tokens.flat_encoder(JSON)
     assert found.ranked is not None
     assert found.flat(texts) == [tokens.as_bytes(e.ids) for e in Tokenizer.from_file(JSON).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_clashing_columns(spark):
+    """Extra columns with the names that operators use for their own stay as they are."""
+    names = ["_row", "row", "_key", "_base", "_terms", "_added", "_gone", "_judged", "_doc", "body", "host", "pii", "kept", "gone", "_mixed", "_other", "_r__key", "h", "name", "n", "base", "node", "component"]
+    text = "some plain words that make a sentence of more than five, by a.b@c.example"
+    rows = [(i, text if i < 2 else f"{text} {' '.join(f'w{i}x{k}' for k in range(60))}", "en", "s", *[f"{c} {i}" for c in names]) for i in range(5)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *names])
+    left = lambda out: {(r.doc_id, *[r[c] for c in names]) for r in out.collect()}
+    given = left(docs)
+    assert left(pii.sanitise(docs)) == given and left(language_id.keep_known(docs, language_id.fit(docs))) == given
+    assert left(exact_dedup.dedup(docs)) == left(near_dedup.dedup(docs)) == {r for r in given if r[0] != 1}
+    assert left(line_quality.clean(docs)) == {r for r in given if r[0] > 1}
+    assert [c for c in pii.annotate(docs).columns if c != "pii"] == [c for c in docs.columns if c != "pii"]
+    for out in (packing.pack(docs, JSON), token_counts.token_counts(docs, JSON), substring_dedup.remove_repeats(docs), bpe.encode(docs, RANKS, public_tokenizers.PATTERN), line_quality.line_quality(docs)):
+        assert {r.doc_id for r in out.select("doc_id").collect()} == set(range(5))
