@@ -107,14 +107,14 @@ GRAPHS = {
 def _kalman(frame):
     """The example token: approved, granted and run on the executors."""
     port = {"type": "TimeSeries[float]"}
-    token = packs.Token("example.level", inputs={"series": port}, outputs={"filtered": port}, params={"alpha": 0.37}, entrypoint="sparkstrat.records.example_tokens:level")
+    token = packs.Token("example.level", inputs={"series": port}, outputs={"filtered": port}, params={"alpha": 0.5}, entrypoint="sparkstrat.records.example_tokens:level")
     here = os.path.dirname(os.path.abspath(custom.__file__))
     pack = packs.Pack("example", "1", (token,), implementation={"kind": "source_tree", "path": here})
     with tempfile.TemporaryDirectory() as folder:  # the driver's own: approvals are its record
         store = custom.Approvals(os.path.join(folder, "approvals.json"))
         custom.approve(store, pack, token.id, "research", token.id, True)
         grant = custom.issue_grant(store, pack, token.id, "case", "research")
-    return custom.execute(frame, pack, token.id, grant, "case", {"series": "x"}, KEYS, ORDER, {"alpha": 0.37})
+    return custom.execute(frame, pack, token.id, grant, "case", {"series": "x"}, KEYS, ORDER, {"alpha": 1 / 3})
 
 
 def bars(spark, sf_dir: str):
@@ -166,8 +166,8 @@ def cases(catalogue) -> dict:
         add(f"op_state_edge_detect_{missing}", lambda s, d, m=missing: gaps(s, d).select("event_id", edge_detect(w(), z() > 50, "rising", m).alias("value")), f"WITH {holes} SELECT event_id, CASE WHEN z IS NULL THEN {rest} ELSE coalesce(NOT {was} AND z > 50, false) END AS value FROM m")
 
     recursive = f"""s AS (SELECT *, row_number() OVER ({order}) AS n FROM ev),
-r AS (SELECT user_id, event_id, n, x AS v FROM s WHERE n = 1 UNION ALL SELECT s.user_id, s.event_id, s.n, r.v + 0.37 * (s.x - r.v) FROM r JOIN s ON s.user_id = r.user_id AND s.n = r.n + 1)"""
-    add("case_custom_token_level", lambda s, d: _kalman(catalogue.events(s, d)).select("event_id", rounded(F.round("filtered", 4)).alias("value")), f"WITH RECURSIVE {ev}, {recursive} SELECT event_id, {sql_round("round(round(v, 6), 4)")} AS value FROM r")
+r AS (SELECT user_id, event_id, n, x AS v FROM s WHERE n = 1 UNION ALL SELECT s.user_id, s.event_id, s.n, r.v + CAST(1 AS DOUBLE) / 3 * (s.x - r.v) FROM r JOIN s ON s.user_id = r.user_id AND s.n = r.n + 1)"""
+    add("case_custom_token_level", lambda s, d: _kalman(catalogue.events(s, d)).select("event_id", rounded(F.col("filtered")).alias("value")), f"WITH RECURSIVE {ev}, {recursive} SELECT event_id, {sql_round("v")} AS value FROM r")
 
     two = f"""s AS (SELECT *, row_number() OVER ({order}) AS n FROM ev),
 r AS (SELECT user_id, event_id, n, x AS f, x AS w FROM s WHERE n = 1 UNION ALL SELECT s.user_id, s.event_id, s.n, s.x / 2 + r.f / 2, s.x * 0.2 + r.w * 0.8 FROM r JOIN s ON s.user_id = r.user_id AND s.n = r.n + 1)"""
