@@ -224,6 +224,22 @@ def _policy(kind: str, reason: str):
     return run
 
 
+def across(token: str, decisions: list[Column]) -> Column:
+    """A monoid or its policy over decisions of one row, as a decision."""
+    order = KINDS_ANY if token == "core.decision.any_accept" else KINDS_AND
+    names, final = F.array(*map(F.lit, order)), {"core.decision.strict_and": ("reject", "DECISION_UNKNOWN_AS_REJECT"), "core.decision.permissive_and": ("accept", "DECISION_UNKNOWN_AS_ACCEPT")}.get(token)
+    level = F.array_max(F.array(*[F.array_position(names, d["kind"]) for d in decisions]))
+    kind, reasons = F.element_at(names, level.cast("int")), merged_reasons(*[d["reasons"] for d in decisions])
+    if final:
+        open_ = kind == "unknown"
+        reasons = F.when(open_, merged_reasons(reasons, F.array(F.lit(final[1])))).otherwise(reasons)
+        kind = F.when(open_, final[0]).otherwise(kind)
+    return F.struct(kind.alias("kind"), reasons.alias("reasons"))
+
+
+ACROSS = ("core.decision.unknown_propagating_and", "core.decision.any_accept", "core.decision.strict_and", "core.decision.permissive_and")
+
+
 def _votes(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(*[F.count_if(F.col("kind") == k).alias(f"_{k}") for k in KINDS_AND], _reasons())
 

@@ -56,7 +56,7 @@ def _node(raw: dict) -> Node:
     fields = {k: raw.get(k) or {} for k in ("inputs", "params", "signature", "metadata")}
     if not all(isinstance(v, dict) for v in fields.values()):
         raise ValueError("GRAPH_NODE_INVALID")
-    return Node(raw["id"], canonical(token), version, **fields)
+    return Node(raw["id"], canonical(token) if canonical(token) in REGISTRY else token, version, **fields)
 
 
 def from_mapping(raw: dict) -> Graph:
@@ -144,7 +144,8 @@ def ordered(graph: Graph) -> list[Node]:
 
 def unsafe_future(node: Node) -> bool:
     """A node that reads rows after its own: a negative shift, or a port that says so."""
-    declared = any((p or {}).get("port_temporal", {}).get("unsafe_future") for p in (node.signature.get("outputs") or {}).values() if isinstance(p, dict))
+    ports = [p for p in (node.signature.get("outputs") or {}).values() if isinstance(p, dict)]
+    declared = any((p.get("port_temporal") or {}).get("unsafe_future") for p in ports)
     return bool(declared) or (node.token == "core.data.shift" and int(node.params.get("periods", 1)) < 0)
 
 
@@ -186,7 +187,7 @@ def validate(graph: Graph, profile: str = "research", custom: tuple[str, ...] =
             out.append(Diagnostic(f"CAPABILITY_{needs.upper()}_REQUIRES_PANEL_TYPE", "error", f"{needs} needs panel_type"))
     known = {n.id for n in graph.nodes}
     for n in graph.nodes:
-        if n.token not in REGISTRY and n.token not in custom and n.token.removeprefix("core.") not in custom:
+        if n.token not in REGISTRY and n.token not in custom:
             out.append(Diagnostic("TOKEN_UNKNOWN", "error", n.token, n.id))
         elif n.token in REGISTRY and REGISTRY[n.token][0] == "metadata":
             out.append(Diagnostic("TOKEN_METADATA_ONLY", "warning" if profile == "research" else "error", f"{n.token} can't be run", n.id))

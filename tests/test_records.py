@@ -143,8 +143,28 @@ def test_compiled_graph_is_one_plan(spark):
     assert out.columns == ["key", "ts", "signal"] and [r.signal for r in out.orderBy("ts").collect()][4:] == [True, False, False]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1  # both windows stand on one exchange
-    with pytest.raises(ValueError, match="TOKEN_METADATA_ONLY"):
-        compile_graph(graphs.from_mapping({"strategy": {"id": "s", "nodes": [{"id": "p", "token": "plan.noop"}]}}), rows, ["key"], ["ts"])
+    for token, code in (("plan.noop", "TOKEN_METADATA_ONLY"), ("own.token", "TOKEN_UNKNOWN"), ("decision.majority", "NOT_COMPILED")):
+        with pytest.raises(ValueError, match=code):
+            compile_graph(graphs.from_mapping({"strategy": {"id": "s", "nodes": [{"id": "p", "token": token}]}}), rows, ["key"], ["ts"])
+
+
+def test_graph_of_constants_custom_tokens_and_decisions(spark):
+    rows = spark.createDataFrame([("k", i, float(v)) for i, v in enumerate([4, 1, 9, 2])], "key string, ts long, x double")
+    lift = lambda i, source: {"id": i, "token": "decision.lift_bool", "inputs": {"series": source}, "params": {"accept_reason": f"{i}_YES", "reject_reason": f"{i}_NO", "note": "ignored"}}
+    nodes = [
+        {"id": "half", "token": "own.half", "inputs": {"series": "$externals.market.x"}, "params": {"by": 2}},
+        {"id": "low", "token": "compare.lt", "inputs": {"a": "half.out", "b": "$externals.limits.low"}},
+        {"id": "high", "token": "compare.gt", "inputs": {"a": "$externals.market.x", "b": 3.5}},
+        lift("A", "low.value"), lift("B", "high.value"),
+        {"id": "both", "token": "decision.strict_and", "inputs": {"decisions": ["A.decision", "B.decision"]}},
+        {"id": "any", "token": "decision.any_accept", "inputs": {"decisions": ["A.decision", "B.decision"]}},
+        {"id": "plan", "token": "plan.noop", "inputs": {"decision": "both.decision"}},
+    ]
+    halved = lambda base, ports, keys, order, params: base.selectExpr(*keys, *order, f"{ports['series']} / {params['by']} as out")
+    strategy = {"strategy": {"id": "s", "nodes": nodes, "outputs": {"plan": "plan.plan", "any": "any.decision"}}}
+    out = compile_graph(graphs.from_mapping(strategy), rows, ["key"], ["ts"], {"limits.low": 2.5}, {"own.half": halved}).orderBy("ts").collect()
+    assert [(r.plan.kind, r["any"].kind) for r in out] == [("accept", "accept"), ("reject", "accept"), ("reject", "accept"), ("reject", "accept")]
+    assert out[1].plan.reasons == ["A_YES", "B_NO"] and codes(graphs.validate(graphs.from_mapping(strategy), custom=("own.half",))) == ["TOKEN_METADATA_ONLY"]
 
 
 def test_versions_and_packs(tmp_path):
