@@ -9,7 +9,9 @@ import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
-SOME = ["op_math_div", "op_window_zscore", "op_indicator_beta", "op_indicator_rsi", "op_indicator_atr", "op_panel_winsorize", "op_weight_market_neutral", "op_gate_cooldown", "op_decision_strict_and", "op_state_fsm", "case_residual_mean_reversion"]
+SOME = [
+    "op_math_div", "op_window_zscore", "op_indicator_beta", "op_indicator_rsi", "op_indicator_atr", "op_panel_winsorize", "op_weight_market_neutral", "op_gate_cooldown", "op_decision_strict_and", "op_state_fsm", "case_residual_mean_reversion",
+    "op_state_delay_skip", "op_state_accumulate_reset_sum", "case_state_cooldown", "case_custom_token_level", "graph_ema_cross", "frame_market_violations", "op_math_round", "op_score_zscore"]
 
 
 def norm(rows):
