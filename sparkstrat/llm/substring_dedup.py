@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, drop, spread_join, sweep, written
+from .common import arrow_bytes, drop, slices, spread_join, sweep, written
 
 LENGTH = 100
 GRAM = 32
@@ -351,15 +351,16 @@ def _sure(wanted, inside: bool):
         import zstandard
 
         squeeze, bits = zstandard.ZstdCompressor(level=3).compress, np.frombuffer(wanted.value, np.uint8)
-        for batch in batches:
-            bit = _bit(batch.column("doc").to_numpy(), batch.column("body").to_numpy())
-            part = batch.filter(pa.array((bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool) == inside))
-            texts = arrow_bytes(part.column("text"))
-            if inside:
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "doc": part.column("doc"), "body": part.column("body"), "packed": pa.array([squeeze(t) for t in texts], pa.binary())})
-            else:
-                none = pa.array(np.zeros(len(texts), np.int64))
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "n_removed": none, "n_spans": none, "kept": pa.array(texts, pa.binary())})
+        for whole in batches:
+            for batch in slices(whole, "text", 4_000_000):
+                bit = _bit(batch.column("doc").to_numpy(), batch.column("body").to_numpy())
+                part = batch.filter(pa.array((bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool) == inside))
+                texts = arrow_bytes(part.column("text"))
+                if inside:
+                    yield pa.record_batch({"doc_id": part.column("doc_id"), "doc": part.column("doc"), "body": part.column("body"), "packed": pa.array([squeeze(t) for t in texts], pa.binary())})
+                else:
+                    none = pa.array(np.zeros(len(texts), np.int64))
+                    yield pa.record_batch({"doc_id": part.column("doc_id"), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "n_removed": none, "n_spans": none, "kept": pa.array(texts, pa.binary())})
 
     return run
 
