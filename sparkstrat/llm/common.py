@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: set[str] = set()
+BATCH_BYTES = 4_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +74,43 @@ def sweep(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def _rested(batches):
+    """Each worker drops what it keeps from task to task and gives freed memory back."""
+    import ctypes
+    import sys
+
+    import pyarrow as pa
+
+    for name, kept in (("near_dedup", "_HASHES"), ("tokens", "_ENCODERS")):
+        if module := sys.modules.get(f"{__package__}.{name}"):
+            getattr(module, kept).clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # no such function in this C library
+        pass
+    yield from batches
+
+
+def rest(spark: SparkSession) -> None:
+    """Has executors and their Python workers give back the memory that a step has left, so that steps do not add up there.
+
+    A Java heap that has grown shrinks only in a full collection. Two tasks for each core reach every worker as a rule; one that is
+    missed only keeps its memory. No result depends on it."""
+    n = 2 * spark.sparkContext.defaultParallelism
+    collected = F.java_method(F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, n, 1, n).mapInArrow(_rested, "id long").select(collected.alias("done")).write.format("noop").mode("overwrite").save()
+
+
+def small_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
+    """Bounds the bytes of a batch that goes to Python, which both the executor and its worker hold; a lower bound stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= limit:
+        spark.conf.set(name, str(limit))
+
+
 def drop(table: DataFrame) -> None:
     """Removes a table that ``written`` made and that no later step reads, and sweeps."""
     spark = table.sparkSession

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import rest, slices, small_batches, written
 from .tokens import as_bytes, flat_encoder
 
 WINDOW = 1024
@@ -250,7 +250,9 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     window: a power of two of at most BLOCK; targets: wanted shares by source, of any sum."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _key(F.col(source_col).cast("string")).alias("source"))
+    small_batches(docs.sparkSession)  # a chunk is a row of some 130 KB
     chunks = written(rows.mapInArrow(_laid(path, end), _CHUNKS))
+    rest(docs.sparkSession)  # the tokenizers are done
     per_task = chunks.groupBy("source", "task").agg(F.sum("tokens").alias("t"))
     base = per_task.select("source", "task", (F.sum("t").over(Window.partitionBy("source").orderBy("task")) - F.col("t")).alias("base"))
     mix = sorted((r.source, r.t) for r in per_task.groupBy("source").agg(F.sum("t").alias("t")).collect())  # a row for each source

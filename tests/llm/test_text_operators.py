@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from sparkstrat.llm import bpe, exact_dedup, language_id, line_quality, near_dedup, packing, pii, substring_dedup, token_counts, toxicity
+from sparkstrat.llm import bpe, common, exact_dedup, language_id, line_quality, near_dedup, packing, pii, substring_dedup, token_counts, tokens, toxicity
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 LONG = " ".join(f"word{i % 37} other{i}" for i in range(4000))
@@ -309,3 +309,36 @@ def test_clashing_columns(spark):
     assert [c for c in pii.annotate(docs).columns if c != "pii"] == [c for c in docs.columns if c != "pii"]
     for out in (packing.pack(docs, JSON), token_counts.token_counts(docs, JSON), substring_dedup.remove_repeats(docs), bpe.encode(docs, RANKS, public_tokenizers.PATTERN), line_quality.line_quality(docs)):
         assert {r.doc_id for r in out.select("doc_id").collect()} == set(range(5))
+
+
+def test_packing_sends_small_batches(spark, monkeypatch):
+    real = packing._dealt
+
+    def watched(mix):
+        run = real(mix)
+
+        def checked(batches):
+            for batch in batches:
+                if batch.nbytes > 8_000_000:
+                    raise ValueError(f"a batch of {batch.nbytes} bytes")
+                yield from run([batch])
+
+        return checked
+
+    monkeypatch.setattr(packing, "_dealt", watched)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    table = spark.createDataFrame([(i, "s") for i in range(80)], "doc_id long, source string").withColumn("text", F.expr("repeat('word ', 40000)")).coalesce(1)
+    out = packing.pack(table, JSON).agg(F.sum("length").alias("n"), F.countDistinct("doc_id").alias("docs")).first()
+    assert out.n >= 80 * 40000 and out.docs == 80
+
+
+def test_workers_give_back_what_a_step_kept(spark):
+    near_dedup.shingles(b"a few words of a text")
+    tokens.flat_encoder(JSON)
+    assert near_dedup._HASHES and tokens._ENCODERS and list(common._rested(["batch"])) == ["batch"]
+    assert not near_dedup._HASHES and not tokens._ENCODERS
+    common.rest(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1000000")
+    common.small_batches(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1000000"
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
