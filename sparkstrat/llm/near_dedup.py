@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, boxed, slices, spread_join, unboxed, written
+from .common import arrow_bytes, boxed, rest, slices, small_batches, spread_join, unboxed, written
 from .components import components
 
 WORDS = 5
@@ -212,12 +212,14 @@ def links(rows: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFr
 
     stars = confirmed(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
     found = components(stars.where("linked").select("a", "b"))
+    rest(rows.sparkSession)
     members = mixed(members, found)
     order = F.xxhash64("node")
     pivots = members.where("component = main").groupBy("key").agg(F.min_by("node", order).alias("low"), F.max_by("node", order).alias("high"))
     met = spread_join(members.where("component <> main").select("key", "node"), pivots, ["key"]).select("node", F.explode(F.array("low", "high")).alias("other"))
     more = confirmed(_fresh(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), stars))
     found = joined(more, found)
+    rest(rows.sparkSession)
     at = mixed(members, found).select("node", "component").distinct()
     last = confirmed(_fresh(_possible(texts, at, percent), stars.unionByName(more)))
     return joined(last, found)
@@ -233,9 +235,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     row: a column of ``docs`` with unique integers; rows are numbered here if it is not given."""
     number = F.col(row) if row else F.monotonically_increasing_id()
+    small_batches(docs.sparkSession)
     base = docs.select(number.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rest(docs.sparkSession)
     rows = written(base.mapInArrow(_signed(bands), _ROWS))
     classes = written(_classes(rows))
+    rest(docs.sparkSession)
     found = links(rows, classes, percent)
     joined = spread_join(classes, found, ["node"], "left").select("row", "node", F.coalesce("component", "node").alias("component"))
     placed = written(rows.select("row", "doc_id", "n_shingles").join(joined, "row", "left").withColumn("component", F.coalesce("component", "row")))
