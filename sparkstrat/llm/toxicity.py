@@ -3,8 +3,9 @@
 The ordinary dictionary is trained by zstandard (``train_dictionary``) on windows of ordinary rows. Most words of a toxic text are
 ordinary, so the toxic dictionary is the ordinary one with a beginning made from the telling words of toxic rows: words with a gram of
 ``GRAM`` characters that stands in more toxic rows than chance allows (Dunning's log-likelihood ratio) and at least ``LIFT`` times
-as often as in ordinary rows. So both compress ordinary text alike. The beginning is either trained by zstandard on those words of each row,
-or a list of the words, which the trainer may cut where they are few; the ratio's level is one of ``LEVELS``. Folds choose among these.
+as often as in ordinary rows. What is left of those words without their most telling gram begins the ordinary dictionary, which is the end of
+both. So both compress ordinary text alike. The toxic beginning is either trained by zstandard on those words of each row, after the words that
+the trainer left out, or a list of the words alone; the ratio's level is one of ``LEVELS``. Folds choose among these.
 
 Each overlapping window of a lower-cased text is compressed with both dictionaries. The largest difference of the lengths, the
 sum of those above ``SLACK`` bytes, by itself and for each window, and the number of windows go through a logistic curve, whose 0.5
@@ -43,7 +44,7 @@ GRAM = 5
 SLACK = 2
 SIZE = 16384
 LIFT = 4.0
-LEVELS = (12.0, 24.0)
+LEVELS = (12.0, 24.0, 60.0)
 WAYS = ("trained", "listed")
 CHOICES = tuple(itertools.product(WAYS, LEVELS))
 WINDOWS = 4
@@ -95,8 +96,16 @@ def _grams(batches):
             yield pa.record_batch({"gram": pa.array(g, pa.string()), "toxic": pa.array(toxic, pa.int32()), "fold": pa.array(fold, pa.int32()), "n": pa.array(list(seen.values()), pa.int64())})
 
 
+def rests(word: str, ratios: dict[str, float]) -> list[str]:
+    """What is left of a telling word on either side of its most telling gram, where that is long enough to be found again."""
+    gram = max(grams_of(word), key=lambda g: (ratios.get(g, 0.0), g))
+    before, _, after = f" {word}".partition(gram)
+    return [x for x in (before.strip(), after) if len(x) > 2]
+
+
 def _samples(telling):
-    """What dictionaries are made from: (fold left out, level or -1 for ordinary windows, sample); fold ``FOLDS`` leaves nothing out."""
+    """What dictionaries are made from: (fold left out, level, sample); fold ``FOLDS`` leaves nothing out. The level is -1 for ordinary
+    windows, and larger by the number of levels for what is left of telling words."""
 
     def run(batches):
         import pyarrow as pa
@@ -109,9 +118,9 @@ def _samples(telling):
                     held = [(w, grams_of(w)) for w in sorted(words_of(text))]
                     for left, level in itertools.product(folds, range(len(LEVELS))):
                         grams = telling.value[left][level]
-                        found = [w for w, g in held if not g.isdisjoint(grams)]
-                        if found:
-                            out.append((left, level, " " + " ".join(found)))
+                        found = [w for w, g in held if not grams.keys().isdisjoint(g)]
+                        rest = [x for w in found for x in rests(w, grams)]
+                        out += [(left, k, " " + " ".join(x)) for k, x in ((level, found), (level + len(LEVELS), rest)) if x]
                 else:
                     data = " ".join(text.lower().split())
                     parts = sorted({data[i : i + WINDOW] for i in range(0, len(data), WINDOW)}, key=hash_of)[:WINDOWS]
@@ -139,10 +148,16 @@ def listed(samples: list[str], size: int = SIZE) -> bytes:
     return "".join(f" {w}" for w in sorted(times, key=lambda w: (times[w], w))).encode()[-size:]
 
 
+def complete(samples: list[str]) -> bytes:
+    """A dictionary that zstandard trains, after the words of the samples that it left out."""
+    known = trained(samples)
+    return listed([w for s in samples for w in s.split() if w.encode() not in known]) + known
+
+
 def dictionaries(samples: dict[int, list[str]], way: str, level: int) -> tuple[bytes, bytes]:
-    """(toxic, ordinary); samples: by level, -1 for ordinary windows."""
-    common = trained(samples.get(-1, []))
-    return {"trained": trained, "listed": listed}[way](samples.get(level, [])) + common, common
+    """(toxic, ordinary); samples: by level, as ``_samples`` gives them."""
+    common = listed(samples.get(level + len(LEVELS), [])) + trained(samples.get(-1, []))
+    return {"trained": complete, "listed": listed}[way](samples.get(level, [])) + common, common
 
 
 class Distance:
@@ -235,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     )
     ratios = counts.select("gram", *[_ratio(f"t{k}", f"o{k}", of(1, k) / (of(1, k) + of(0, k))).alias(f"g{k}") for k in range(FOLDS + 1)])
     found = ratios.where(F.greatest(*[F.col(f"g{k}") for k in range(FOLDS + 1)]) >= min(LEVELS)).collect()  # bounded by the sample
-    telling = spark.sparkContext.broadcast([[{r.gram for r in found if r[f"g{k}"] >= level} for level in LEVELS] for k in range(FOLDS + 1)])
+    telling = spark.sparkContext.broadcast([[{r.gram: r[f"g{k}"] for r in found if r[f"g{k}"] >= level} for level in LEVELS] for k in range(FOLDS + 1)])
     samples: dict[int, dict[int, list[str]]] = {k: {} for k in range(FOLDS + 1)}
     for r in rows.select("text", "toxic", "fold").mapInArrow(_samples(telling), "left int, level int, sample string").collect():  # of at most 2 x sample rows
         samples[r.left].setdefault(r.level, []).append(r.sample)

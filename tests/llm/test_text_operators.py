@@ -342,3 +342,13 @@ def test_workers_give_back_what_a_step_kept(spark):
     common.small_batches(spark)
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1000000"
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+def test_toxic_dictionaries_hold_every_telling_word():
+    ordinary = [f" plain words of number {i} and {i * 7}" for i in range(200)]
+    common, rare = [f"abusive{x}word" for x in "qwertzui"], ["vequez", "lostraan", "loweiig"]
+    words = [" " + " ".join(common[i % 8 :] + common[: i % 8]) for i in range(300)] + [f" {w}" for w in rare]
+    for way in toxicity.WAYS:
+        toxic, plain = toxicity.dictionaries({-1: ordinary, 0: words, len(toxicity.LEVELS): [" ente"]}, way, 0)
+        assert all(w.encode() in toxic for w in common + rare) and toxic.endswith(plain) and plain.startswith(b" ente")
+    assert toxicity.rests("chllaente", {" chll": 5.0, "chlla": 9.0}) == ["ente"]
