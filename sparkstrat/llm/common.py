@@ -93,14 +93,17 @@ def _rested(batches):
     yield from batches
 
 
-def rest(spark: SparkSession) -> None:
+def rest(spark: SparkSession, workers: bool = True) -> None:
     """Has executors and their Python workers give back the memory that a step has left, so that steps do not add up there.
 
     A Java heap that has grown shrinks only in a full collection. Two tasks for each core reach every worker as a rule; one that is
-    missed only keeps its memory. No result depends on it."""
+    missed only keeps its memory. No result depends on it. workers: False collects in the executors alone, without any Python there."""
     n = 2 * spark.sparkContext.defaultParallelism
     collected = F.java_method(F.lit("java.lang.System"), F.lit("gc"))
-    spark.range(0, n, 1, n).mapInArrow(_rested, "id long").select(collected.alias("done")).write.format("noop").mode("overwrite").save()
+    reached = spark.range(0, n, 1, n)
+    if workers:
+        reached = reached.mapInArrow(_rested, "id long")
+    reached.select(collected.alias("done")).write.format("noop").mode("overwrite").save()
 
 
 def small_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:

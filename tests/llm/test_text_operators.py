@@ -344,6 +344,27 @@ def test_workers_give_back_what_a_step_kept(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
 
 
+def test_pipeline_runs_no_python_in_its_native_stage(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    docs.write.parquet(f"{tmp_path}/documents")
+    table = spark.read.parquet(f"{tmp_path}/documents")  # rows from Python would show in the plans
+
+    def ran(stage):
+        store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+        bus.waitUntilEmpty()
+        before = store.executionsList().size()
+        stage(spark, table, "").write.format("noop").mode("overwrite").save()
+        bus.waitUntilEmpty()
+        every = store.executionsList()
+        return [bool(re.search("Python|Pandas|Arrow", every.apply(i).physicalPlanDescription())) for i in range(before, every.size())]
+
+    native = ran(corpus_pipeline.sanitise)
+    assert len(native) > 2 and not any(native)
+    # The workers rest after their last step in the stage before, and the frame that is then written needs none.
+    assert ran(corpus_pipeline.drop_near_copies)[-2:] == [True, False]
+
+
 def test_toxic_dictionaries_hold_every_telling_word():
     ordinary = [f" plain words of number {i} and {i * 7}" for i in range(200)]
     common, rare = [f"abusive{x}word" for x in "qwertzui"], ["vequez", "lostraan", "loweiig"]
