@@ -166,7 +166,7 @@ def _dealt(mix):
                         left -= take
                         if take < k:
                             todo.append((doc_id, start + take, k - take, total))
-                    out.append((b, low, rows, ids[4 * (low - first) : 4 * (high - first)]))
+                    out.append((b, low, rows, bytes(ids[4 * (low - first) : 4 * (high - first)])))  # Arrow never lets go of a memoryview
                 blocks, at, rows, data = zip(*out, strict=True)
                 yield pa.record_batch({"block": pa.array(blocks, pa.int64()), "source": pa.array([source] * len(out), pa.string()), "at": pa.array(at, pa.int64())} | _row_arrays(rows, list(data)))
 

@@ -332,6 +332,33 @@ def test_packing_sends_small_batches(spark, monkeypatch):
     assert out.n >= 80 * 40000 and out.docs == 80
 
 
+def test_dealing_keeps_no_chunk():
+    import gc
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    n, chunks = 1 << 15, 64  # 8 MB of ids, each chunk cut at the ends of blocks
+    mix = SimpleNamespace(value=(["+a"], [n * chunks], [1.0], 20_000))
+
+    def batches(some):
+        for i in range(some):
+            rows = packing._row_arrays([[(i, 0, n, n)]], [bytes(4 * n)])
+            yield pa.record_batch({"task": pa.array([0], pa.int32()), "source": ["+a"], "first": [i * n], "tokens": [n], "base": [0]} | rows)
+
+    list(packing._dealt(mix)(batches(1)))  # what Arrow imports at its first use stays
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        dealt = sum(sum(map(len, out.column("ids").to_pylist())) for out in packing._dealt(mix)(batches(chunks)))
+        gc.collect()
+        kept = tracemalloc.get_traced_memory()[0] - before
+    finally:
+        tracemalloc.stop()
+    assert dealt == 4 * n * chunks and kept < 1_000_000
+
+
 def test_workers_give_back_what_a_step_kept(spark):
     near_dedup.shingles(b"a few words of a text")
     tokens.flat_encoder(JSON)
