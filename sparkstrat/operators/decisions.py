@@ -258,10 +258,12 @@ def quorum(rows: DataFrame, keys: list[str], accept_quorum: int, min_known: int
     return _votes(rows, keys).select(*keys, F.when(F.col("_block") > 0, "block").when(yes >= accept_quorum, "accept").when(known, "reject").otherwise("unknown").alias("kind"), "reasons")
 
 
-def weighted_vote(rows: DataFrame, keys: list[str], weight: str = "weight", score: str | None = None, missing_weight: str = "error", missing_score: str = "error", policy: str = RAISE) -> DataFrame:
+def weighted_vote(rows: DataFrame, keys: list[str], weight: str = "weight", score: str | None = None, missing_weight: str = "error", missing_score: str = "error", policy: str = RAISE, order: list[str] | None = None) -> DataFrame:
     """The sign of the accepted less the rejected weights (times score, in [0, 1], if given).
 
-    missing_weight: error or use_one; missing_score: error, abstain (0) or use_default (1). Only accept and reject rows are looked at."""
+    missing_weight: error or use_one; missing_score: error, abstain (0) or use_default (1). Only accept and reject rows are looked at.
+    order: columns in whose order a group's weights are added. Doubles need it: where both sides weigh the same, the sum is zero or
+    a rounding error, by the order of addition, which would else be by how the rows are dealt. A group is then one task's."""
     if missing_weight not in ("error", "use_one") or missing_score not in ("error", "abstain", "use_default"):
         raise ValueError("DECISION_INVALID_PARAMS")
     w = F.coalesce(F.col(weight), F.lit(1)) if missing_weight == "use_one" else guard(F.col(weight), F.col(weight).isNull(), "DECISION_MISSING_WEIGHT", policy)
@@ -270,7 +272,12 @@ def weighted_vote(rows: DataFrame, keys: list[str], weight: str = "weight", scor
         s = F.col(score)
         s = guard(s, s.isNull(), "DECISION_MISSING_SCORE", policy) if missing_score == "error" else F.coalesce(s, F.lit(0 if missing_score == "abstain" else 1))
         size = w * guard(s, (s < 0) | (s > 1), "DECISION_SCORE_OUT_OF_RANGE", policy)
-    total = F.sum(F.when(F.col("kind") == "accept", size).when(F.col("kind") == "reject", -size))
+    signed = F.when(F.col("kind") == "accept", size).when(F.col("kind") == "reject", -size)
+    total = F.sum(signed)
+    if order:
+        w = W.partitionBy(*keys).orderBy(*order)
+        rows = rows.withColumns({"_sum": total.over(_running(w)), "_at": F.row_number().over(w)})
+        total = F.max_by("_sum", "_at")
     folded = rows.groupBy(*keys).agg(F.count_if(F.col("kind") == "block").alias("_block"), F.coalesce(total, F.lit(0)).alias("_total"), _reasons())
     return folded.select(*keys, F.when(F.col("_block") > 0, "block").when(F.col("_total") > 0, "accept").when(F.col("_total") < 0, "reject").otherwise("unknown").alias("kind"), "reasons")
 

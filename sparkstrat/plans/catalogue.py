@@ -322,7 +322,7 @@ def _all_decisions() -> None:
     keys = ["user_id", "day"]
 
     def given(s, d):
-        rows = s.read.parquet(f"{d}/events.parquet").selectExpr("user_id", "to_date(ts) AS day", f"{kinds} AS kind", "array(upper(event_type)) AS reasons", "value")
+        rows = s.read.parquet(f"{d}/events.parquet").selectExpr("user_id", "to_date(ts) AS day", f"{kinds} AS kind", "array(upper(event_type)) AS reasons", "value", "ts", "event_id")
         return rows
 
     def folded(name, sql, reasons, **params):
@@ -339,7 +339,7 @@ def _all_decisions() -> None:
         folded(name, f"CASE p WHEN 0 THEN 'accept' WHEN 1 THEN '{to}' WHEN 2 THEN 'reject' ELSE 'block' END", f"CASE WHEN p = 1 THEN array_to_string(list_sort(list_append(string_split(reasons, ','), '{extra}')), ',') ELSE reasons END")
     folded("majority", "CASE WHEN b > 0 THEN 'block' WHEN a > r THEN 'accept' WHEN r > a THEN 'reject' ELSE 'unknown' END", "reasons")
     folded("quorum", "CASE WHEN b > 0 THEN 'block' WHEN a >= 2 THEN 'accept' WHEN a + r >= 2 THEN 'reject' ELSE 'unknown' END", "reasons", accept_quorum=2, min_known=2)
-    folded("weighted_vote", "CASE WHEN b > 0 THEN 'block' WHEN v > 0 THEN 'accept' WHEN v < 0 THEN 'reject' ELSE 'unknown' END", "reasons", weight="value")
+    folded("weighted_vote", "CASE WHEN b > 0 THEN 'block' WHEN v > 0 THEN 'accept' WHEN v < 0 THEN 'reject' ELSE 'unknown' END", "reasons", weight="value", order=["ts", "event_id"])
 
 
 # Panels.
